@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from voxtally.plans import region_queries  # noqa: F401
+from voxtally.plans import region_queries, stat_queries  # noqa: F401
 from voxtally.plans.registry import ORACLES, QUERIES  # noqa: F401
