@@ -68,8 +68,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -87,17 +85,19 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, between: bytes = b" \t\n\v\f\r") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of the words of some texts, their starts and ends, and where each text's words begin.
 
-    A word is a run of bytes other than space and \\t to \\r; `lower` folds A-Z. The last
+    A word is a run of bytes other than those in `between`; `lower` folds A-Z. The last
     array has an entry more than there are texts. Words never cross texts.
     """
     n = len(data)
+    separator = np.zeros(256, dtype=bool)
+    separator[list(between)] = True
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    blank = _SPACE[data]
+    blank = separator[data]
     first = np.ones(n, dtype=bool)
     first[1:] = blank[:-1]
     inner = offsets[:-1][offsets[:-1] < n]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import packing, sentence_pieces
+from voxtally.llm import fingerprint, packing, sentence_pieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +36,15 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's pieces, their spans and the decoded text."""
     return sentence_pieces.encode(table(spark, sf_dir, "documents"), digests=True)
+
+
+@query("op9_fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's multiset fingerprint beside that of its edited text and of the next document."""
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of toxicity."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -175,7 +175,7 @@ class Model:
         normal, source = self.normalizer(text.encode())
         lengths = self.lengths[ids].copy()
         if self.unknown[ids].any():
-            proto = self.processor.encode(text, out_type="immutable_proto")
+            proto = self.processor.encode(text, return_type="proto")
             lengths = np.array([len(p.surface.replace(" ", META).encode()) for p in proto.pieces], dtype=np.int64)
         return source[np.minimum(np.cumsum(lengths), len(normal))]
 
