@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import fingerprint, packing, sentence_pieces, toxicity
+from voxtally.llm import fingerprint, near_dedup, packing, sentence_pieces, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,9 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability of toxicity."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
