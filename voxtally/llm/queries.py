@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import fingerprint, near_dedup, packing, sentence_pieces, toxicity
+from voxtally.llm import fingerprint, near_dedup, packing, sentence_pieces, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,9 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of smaller ones."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), report=True)
