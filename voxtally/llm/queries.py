@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import fingerprint, near_dedup, packing, sentence_pieces, substrings, toxicity
+from voxtally.llm import fingerprint, near_dedup, neighbours, packing, sentence_pieces, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,10 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 50-byte strings of smaller ones."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), report=True)
+
+
+@query("op5_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors of largest inner product for every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.neighbours(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding")
