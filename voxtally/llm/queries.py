@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import fingerprint, near_dedup, neighbours, packing, sentence_pieces, substrings, toxicity
+from voxtally.llm import fingerprint, licences, line_templates, near_dedup, neighbours, packing, sentence_pieces, sharding, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,21 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors of largest inner product for every twentieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.neighbours(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding")
+
+
+@query("op3_licence_scans", licences.scan_sql())
+def licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document and its lines stand for, by canonical digests."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_sharding")
+def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot in 16 shards of nearly equal size."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+@query("op10_line_dedup", line_templates.report_sql())
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the lines of recurring templates."""
+    return line_templates.report(table(spark, sf_dir, "documents"))
