@@ -22,7 +22,7 @@ from voxtally.llm.common import settle
 SHARE = 0.005
 LEAST = 3
 LEADING = 4
-FIXED = 0.7
+FIXED = 0.6
 FIELD = "<*>"
 WITH_DIGIT = "[^ ]*[0-9][^ ]*"
 
