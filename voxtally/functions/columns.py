@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,10 +49,15 @@ def to_uint8(unit: Column) -> Column:
     return F.rint(unit * number(255)).cast("int")
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """Case-insensitive natural order: every digit run is left-padded with zeros."""
-    padded = F.regexp_replace(F.lower(name), r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(padded, r"0*(\d{" + str(width) + r"})(?!\d)", "$1")
+def natural_key(name: Column) -> Column:
+    """Case-insensitive natural order: every digit run, without leading zeros, goes behind its length."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+
+    def key(part: Column) -> Column:
+        run = F.regexp_replace(part, r"^0+(?=\d)", "")
+        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(run).cast("string"), 10, "0"), run)).otherwise(part)
+
+    return F.array_join(F.transform(parts, key), "")
 
 
 def rgb_from_packed(packed: Column) -> Column:
@@ -122,11 +127,18 @@ MIX_SEED = 69069
 _WORD = 4294967296
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it.
+
+    A value named twice in an expression is written out twice, so a chain of such steps would
+    double at every step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _mix(h: Column) -> Column:
     for _ in range(2):
-        h = h.bitwiseXOR(F.shiftrightunsigned(h, 16))
-        h = F.pmod(h * F.lit(MIX_MULTIPLIER), F.lit(_WORD))
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 16))
+        h = let(h, lambda x: F.pmod(x.bitwiseXOR(F.shiftrightunsigned(x, 16)) * F.lit(MIX_MULTIPLIER), F.lit(_WORD)))
+    return let(h, lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 16)))
 
 
 def draw62(seed: int, resample: Column, sample: Column) -> Column:
@@ -134,8 +146,13 @@ def draw62(seed: int, resample: Column, sample: Column) -> Column:
     ``sample`` below 2**32, so draws never tie and an order by draw is a permutation."""
     r = F.pmod(resample.cast("long"), F.lit(_WORD))
     s = F.pmod(sample.cast("long"), F.lit(_WORD))
-    key = _mix(F.pmod(r * F.lit(MIX_RESAMPLE) + F.lit((seed * MIX_SEED) % _WORD), F.lit(_WORD)))
-    first = _mix(F.pmod(F.pmod(s * F.lit(MIX_SAMPLE), F.lit(_WORD)) + key, F.lit(_WORD)))
-    high = _mix(F.pmod(first + key * F.lit(5) + F.lit(7), F.lit(_WORD)).bitwiseXOR(key))
-    low = _mix(F.pmod(high + key * F.lit(3) + F.lit(1), F.lit(_WORD)))
-    return high * F.lit(1 << 30) + F.shiftrightunsigned(low, 2)
+
+    def drawn(key: Column) -> Column:
+        first = _mix(F.pmod(F.pmod(s * F.lit(MIX_SAMPLE), F.lit(_WORD)) + key, F.lit(_WORD)))
+        low = lambda high: _mix(F.pmod(high + key * F.lit(3) + F.lit(1), F.lit(_WORD)))
+        return let(
+            _mix(F.pmod(first + key * F.lit(5) + F.lit(7), F.lit(_WORD)).bitwiseXOR(key)),
+            lambda high: high * F.lit(1 << 30) + F.shiftrightunsigned(low(high), 2),
+        )
+
+    return let(_mix(F.pmod(r * F.lit(MIX_RESAMPLE) + F.lit((seed * MIX_SEED) % _WORD), F.lit(_WORD))), drawn)

@@ -31,8 +31,8 @@ def _beta_fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             c = guard(1.0 + step / c)
             out = out * d * c
         if np.all(np.abs(d * c - 1.0) < 1e-15):
-            break
-    return out
+            return out
+    raise ArithmeticError("the continued fraction of the incomplete beta integral did not converge")
 
 
 def beta_cdf(x, a, b) -> np.ndarray:

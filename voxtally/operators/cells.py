@@ -184,13 +184,12 @@ def points_in_box(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     return c.join(b, hit).select(F.col("b.box_id").alias("box_id"), *kept)
 
 
-def large_components(objects: DataFrame, ratio: float = 0.3, hot_rows: int | None = None) -> DataFrame:
+def large_components(objects: DataFrame, ratio: float = 0.3) -> DataFrame:
     """Objects of at least ``ratio`` of the largest in their slice, ranked largest first."""
     largest = objects.groupBy("slice_id").agg(F.max("area").alias("_max"))
     kept = objects.join(largest, "slice_id").filter(F.col("area") >= F.col("_max") * number(ratio)).drop("_max")
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
     return with_rank(
-        kept, ["slice_id"], -F.col("area"), [F.col("area").desc(), F.col("label")], name="rank", **extra
+        kept, ["slice_id"], -F.col("area"), [F.col("area").desc(), F.col("label")], name="rank"
     )
 
 

@@ -1,10 +1,9 @@
 """Ranks and running aggregates that survive a hot key.
 
-A window ``PARTITION BY key ORDER BY v`` sends a whole key to one task.  Here a key with more
-than ``hot_rows`` rows is cut into value ranges first: the window runs per (key, range), and each
-range starts from the combined value of the earlier ranges, which is computed on at most
-``ranges`` rows per key.  When no key is hot the side tables are empty and adaptive execution
-drops their joins."""
+A window ``PARTITION BY key ORDER BY v`` sends a whole key to one task.  Here every key is cut into
+value ranges at its quantiles: the window runs per (key, range), and each range starts from the
+combined value of the earlier ranges, which is computed on at most ``ranges`` rows per key.  Rows
+of one value stay in one range."""
 
 from __future__ import annotations
 
@@ -14,31 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HOT_ROWS = 2_000_000
-RANGES = 512
+RANGES = 64
 PART = "_range"
 
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 _COMBINE = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}
 
 
-def with_ranges(
-    df: DataFrame, keys: Sequence[str], value: Column, hot_rows: int = HOT_ROWS, ranges: int = RANGES
-) -> DataFrame:
-    """Add ``_range``: 0 for ordinary keys, the value range of the row for hot keys."""
+def with_ranges(df: DataFrame, keys: Sequence[str], value: Column, ranges: int = RANGES) -> DataFrame:
+    """Add ``_range``, the value range of the row in its key.  The bounds are at most ``ranges``
+    numbers per key; ties share a range."""
     keys = list(keys)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys)
     cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    bounds = (
-        df.withColumn("_v", value)
-        .join(hot, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_distinct(F.percentile_approx("_v", cuts, F.lit(20_000))).alias("_bounds"))
+    bounds = df.groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx(value, cuts, F.lit(100 * ranges))).alias("_bounds")
     )
     below = F.size(F.filter(F.col("_bounds"), lambda b: b < value))
-    return df.join(bounds, keys, "left").withColumn(
-        PART, F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(below)
-    ).drop("_bounds")
+    return df.join(bounds, keys, "left").withColumn(PART, F.coalesce(below, F.lit(0))).drop("_bounds")
 
 
 def with_scan(
@@ -48,20 +39,14 @@ def with_scan(
     scans: dict[str, tuple[str, str]],
     order: Sequence[Column] | None = None,
     descending: bool = False,
-    hot_rows: int = HOT_ROWS,
     ranges: int = RANGES,
 ) -> DataFrame:
     """Inclusive running aggregates per key.  ``scans`` maps an output name to (aggregate, input
     column), the aggregate being sum, max or min.  ``value`` is the leading numeric sort key; give
     ``order`` when it does not decide the order alone."""
     keys = list(keys)
-    parted = with_ranges(df, keys, value, hot_rows, ranges)
-    split = parted.filter(F.col(PART) > 0).select(*keys).distinct()
-    totals = (
-        parted.join(split, keys, "left_semi")
-        .groupBy(*keys, PART)
-        .agg(*[_AGGREGATES[a](c).alias(f"_t_{o}") for o, (a, c) in scans.items()])
-    )
+    parted = with_ranges(df, keys, value, ranges)
+    totals = parted.groupBy(*keys, PART).agg(*[_AGGREGATES[a](c).alias(f"_t_{o}") for o, (a, c) in scans.items()])
     ranged = F.col(PART).desc() if descending else F.col(PART).asc()
     earlier = Window.partitionBy(*keys).orderBy(ranged).rowsBetween(Window.unboundedPreceding, -1)
     entry = totals.select(
@@ -86,11 +71,8 @@ def with_rank(
     value: Column,
     order: Sequence[Column],
     name: str = "rank",
-    hot_rows: int = HOT_ROWS,
     ranges: int = RANGES,
 ) -> DataFrame:
     """1-based row number of each row in its key, in ascending ``value`` and then ``order``."""
     counted = df.withColumn("_one", F.lit(1).cast("long"))
-    return with_scan(
-        counted, keys, value, {name: ("sum", "_one")}, order=order, hot_rows=hot_rows, ranges=ranges
-    ).drop("_one")
+    return with_scan(counted, keys, value, {name: ("sum", "_one")}, order=order, ranges=ranges).drop("_one")

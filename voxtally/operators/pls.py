@@ -529,13 +529,15 @@ def paired_sums(blocks: Blocks, n: int, seed: int, n_x: int, pairs, groups_by: s
                 continue
             z = np.array(pdf["x"].tolist(), dtype=float)
             m = RS.products(z, pairs)
-            key = pdf["resample"].to_numpy() * 4096 + pdf["group"].to_numpy()
-            order = np.argsort(key, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0])
-            for k, total in zip(key[order][starts], np.add.reduceat(m[order], starts, axis=0)):
+            resample, cell = pdf["resample"].to_numpy(), pdf["group"].to_numpy()
+            order = np.lexsort((cell, resample))
+            resample, cell = resample[order], cell[order]
+            starts = np.flatnonzero(np.r_[True, (np.diff(resample) != 0) | (np.diff(cell) != 0)])
+            for at, total in zip(starts, np.add.reduceat(m[order], starts, axis=0)):
+                k = int(resample[at]), int(cell[at])
                 held[k] = held[k] + total if k in held else total
-        for k, total in held.items():
-            yield RS._long(np.array([k // 4096]), int(k % 4096), total[None, :])
+        for (r, g), total in held.items():
+            yield RS._long(np.array([r]), g, total[None, :])
 
     return RS._sum_cells(moved.mapInPandas(partial, RS.SUMS_SCHEMA))
 

@@ -179,15 +179,15 @@ def permutation_plan(blocks: Blocks, n_perm: int, seed: int) -> DataFrame:
 
 
 def bootstrap_slots(blocks: Blocks, n: int, seed: int) -> DataFrame:
-    """(group, block, resample, slots): how many of the group's draws fall in each block."""
+    """(_group, _block, resample, slots): how many of the group's draws fall in each block."""
     sizes = F.array(*[F.lit(int(v)).cast("long") for v in blocks.sizes])
     hit = F.pmod(
         draw62(stream(seed, BLOCK_STREAM), F.col("resample"), F.col("sid")), F.get(sizes, F.col("group"))
     )
     return (
         fan_out(blocks.rows.select("sid", "group"), n)
-        .select("group", "resample", F.floor(hit / F.lit(blocks.block_size)).cast("int").alias("block"))
-        .groupBy("group", "block", "resample")
+        .select(F.col("group").alias("_group"), "resample", F.floor(hit / F.lit(blocks.block_size)).cast("int").alias("_block"))
+        .groupBy("_group", "_block", "resample")
         .agg(F.count(F.lit(1)).cast("int").alias("slots"))
     )
 
@@ -278,19 +278,15 @@ def bootstrap_sums(
     and the signature.  ``prepare(resample, z)`` may replace the block's numbers per resample."""
     n_blocks, first, sizes = blocks.n_blocks, blocks.first_block, blocks.sizes
     chunks = blocks.chunks()
-    single = all(b == 1 for b in blocks.blocks_per_group)
 
-    def one(key, left: pd.DataFrame, right: pd.DataFrame | None) -> pd.DataFrame:
+    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         group, block, chunk = (int(v) for v in key)
         ids = np.arange(n)[chunk::chunks]
         if not len(left) or not len(ids):
             return pd.DataFrame({"resample": [], "cell": [], "k": [], "v": []})
         sid, z = _stack(left)
-        if right is None or (len(right) == 0 and sizes[group] == len(left)):
-            slots = np.full(len(ids), sizes[group])
-        else:
-            by_id = dict(zip(right["resample"], right["slots"]))
-            slots = np.array([by_id.get(int(r), 0) for r in ids])
+        by_id = dict(zip(right["resample"], right["slots"]))
+        slots = np.array([by_id.get(int(r), 0) for r in ids])
         w = block_multiplicities(seed, ids, slots, n_blocks, first[group] + block, len(z))
         if prepare is None:
             moments = weighted_moments(w, z, pairs)
@@ -300,10 +296,8 @@ def bootstrap_sums(
         return _long(ids, group, np.hstack([moments, extra]))
 
     rows = fan_out(blocks.rows, chunks, "chunk").groupBy("group", "block", "chunk")
-    if single:
-        return _sum_cells(rows.applyInPandas(lambda key, left: one(key, left, None), SUMS_SCHEMA))
-    slots = bootstrap_slots(blocks, n, seed).withColumn("chunk", F.pmod("resample", F.lit(chunks)))
-    return _sum_cells(rows.cogroup(slots.groupBy("group", "block", "chunk")).applyInPandas(one, SUMS_SCHEMA))
+    slots = bootstrap_slots(blocks, n, seed).withColumn("_chunk", F.pmod("resample", F.lit(chunks)))
+    return _sum_cells(rows.cogroup(slots.groupBy("_group", "_block", "_chunk")).applyInPandas(one, SUMS_SCHEMA))
 
 
 def accepted_bootstraps(sums: DataFrame, sizes: Sequence[int], n_moments: int, n_boot: int, n_cond: int = 1) -> DataFrame:
@@ -348,7 +342,7 @@ def bootstrap_plan(blocks: Blocks, n: int, seed: int) -> DataFrame:
     slots = bootstrap_slots(blocks, n, seed)
     return (
         blocks.rows.select("group", "block", "sid").groupBy("group", "block")
-        .cogroup(slots.groupBy("group", "block")).applyInPandas(one, schema)
+        .cogroup(slots.groupBy("_group", "_block")).applyInPandas(one, schema)
     )
 
 

@@ -66,16 +66,15 @@ def count_valid_images(slices: DataFrame) -> DataFrame:
     return valid_slices(slices).agg(F.count(F.lit(1)).alias("n_images"))
 
 
-def evenly_space_ap(slices: DataFrame, subjects: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+def evenly_space_ap(slices: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
     """Linear AP between the first and last valid slice of each subject (nested ``params``).
 
     Subjects with at most two valid slices are unchanged.  A subject whose first or last valid
     slice lacks atlas parameters fails the job.  Missing parameters are created with the
     subject's rotation (``subjects`` with columns animal_id, rot_horizontal, rot_sagittal)."""
     valid = valid_slices(slices)
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
     ranked = with_rank(
-        valid, ["animal_id"], F.col("pos"), [F.col("pos")], name="_i", **extra
+        valid, ["animal_id"], F.col("pos"), [F.col("pos")], name="_i"
     )
     ends = valid.groupBy("animal_id").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -202,7 +201,7 @@ def move_images_root(
     else:
         prefix = old_root.rstrip("/") + "/"
         target = F.when(
-            name.startswith(prefix), F.concat(F.lit(root), F.substring(name, len(prefix) + 1, 1 << 20))
+            name.startswith(prefix), F.concat(F.lit(root), F.substr(name, F.lit(len(prefix) + 1)))
         )
     known = files.select(F.col("path").alias("_target")).distinct().withColumn("_known", F.lit(True))
     return (

@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxtally.functions.columns import col, number
 from voxtally.functions.special import f_pvalue, t_pvalue
 from voxtally.operators.cells import gray_matter_leaves, in_conditions, require_rows
-from voxtally.operators.ordering import with_scan
 
 METHODS = ("bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by")
 
@@ -23,50 +23,40 @@ def adjust_pvalues(
     method: str | None = "fdr_bh",
     alpha: float = 0.05,
     out: str = "p_corrected",
-    **scan_options,
 ) -> DataFrame:
     """Add the corrected p-value and ``reject``.  NULL p-values are outside the family.
 
-    Equal p-values share a corrected value, so the scan runs over distinct p-values with their
-    counts; a family in which one p-value fills a third of the rows is one row of the scan."""
+    Equal p-values share a corrected value, so ranks and running extremes are taken over distinct
+    p-values with their counts."""
     if method is None:
         return df.withColumn(out, F.col(p)).withColumn("reject", F.col(p) <= number(alpha))
     if method not in METHODS:
         raise ValueError(f"unsupported correction method {method!r}; use one of {METHODS}")
     keys = list(family) or ["_family"]
     tagged = df if family else df.withColumn("_family", F.lit(1))
-    levels = (
-        tagged.filter(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    sizes = levels.groupBy(*keys).agg(F.sum("_c").alias("_m"))
+    # one row per distinct p-value: at most structures x pairs per family, so plain windows serve
+    levels = tagged.filter(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    up = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = levels.select("*", F.sum("_c").over(Window.partitionBy(*keys)).alias("_m"), F.sum("_c").over(up).alias("_last"))
     pv, m = F.col("_p"), F.col("_m").cast("double")
+    first = F.col("_last") - F.col("_c")  # ranks before this level
     if method == "bonferroni":
-        table = levels.join(sizes, keys).withColumn("_adj", pv * m)
+        adjusted = pv * m
     elif method == "sidak":
-        table = levels.join(sizes, keys).withColumn("_adj", -F.expm1(m * F.log1p(-pv)))
+        adjusted = -F.expm1(m * F.log1p(-pv))
+    elif method == "holm":
+        adjusted = F.max(pv * (m - first)).over(up)
+    elif method == "holm-sidak":
+        adjusted = F.max(-F.expm1((m - first) * F.log1p(-pv))).over(up)
+    elif method == "simes-hochberg":
+        adjusted = F.min(pv * (m - F.col("_last") + number(1))).over(down)
     else:
-        ranked = with_scan(levels, keys, pv, {"_last": ("sum", "_c")}, **scan_options).join(sizes, keys)
-        first = F.col("_last") - F.col("_c")  # ranks before this level
-        if method in ("holm", "holm-sidak"):
-            left = m - first
-            raw = pv * left if method == "holm" else -F.expm1(left * F.log1p(-pv))
-            table = with_scan(
-                ranked.withColumn("_raw", raw), keys, pv, {"_adj": ("max", "_raw")}, **scan_options
-            )
-        else:
-            if method == "simes-hochberg":
-                raw = pv * (m - F.col("_last") + number(1))
-            else:
-                raw = pv * m / F.col("_last")
-                if method == "fdr_by":
-                    raw = raw * F.aggregate(
-                        F.sequence(F.lit(1), F.col("_m")), number(0), lambda a, i: a + number(1) / i
-                    )
-            table = with_scan(
-                ranked.withColumn("_raw", raw), keys, pv, {"_adj": ("min", "_raw")}, descending=True,
-                **scan_options,
-            )
+        raw = pv * m / F.col("_last")
+        if method == "fdr_by":
+            raw = raw * F.aggregate(F.sequence(F.lit(1), F.col("_m")), number(0), lambda a, i: a + number(1) / i)
+        adjusted = F.min(raw).over(down)
+    table = ranked.withColumn("_adj", adjusted)
     corrected = table.select(*keys, F.col("_p").alias(p), F.least(F.col("_adj"), number(1)).alias(out))
     joined = tagged.join(corrected, [*keys, p], "left")
     return joined.withColumn("reject", F.col(out) <= number(alpha)).select(*df.columns, out, "reject")

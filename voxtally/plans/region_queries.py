@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxtally.functions.columns import natural_key, number, preview_box, resize_dims, rgb_from_packed, structs_equal
 from voxtally.operators import cells as C
@@ -562,14 +563,17 @@ def possible_contrasts(spark, sf):
     return S.possible_contrasts(P.subjects(spark, sf))
 
 
-@query("natural_sort", "SELECT c_name AS name, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
+@query("natural_sort", """WITH names AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'Slice ' ELSE 'slice ' END || (c_custkey * 7919 % 100003) || ' of ' || c_nationkey AS name,
+    c_custkey * 7919 % 100003 AS n, c_nationkey AS m FROM customer)
+  SELECT name, CAST(m AS BIGINT) AS batch, rank() OVER (PARTITION BY m ORDER BY n) AS place FROM names""")
 def natural_sort(spark, sf):
-    from voxtally.operators.ordering import with_rank
-
-    names = P.table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey"))
-    keyed = names.withColumn("sort_key", natural_key(F.regexp_replace("name", "#0*(?=\\d)", ""))).withColumn("_all", F.lit(1))
-    number_part = F.substring("sort_key", -18, 18).cast("long")
-    return with_rank(keyed, ["_all"], number_part, [F.col("sort_key")], name="place").select("name", "place")
+    number = F.col("c_custkey") * 7919 % 100003
+    word = F.when(F.col("c_custkey") % 2 == 0, F.lit("Slice ")).otherwise(F.lit("slice "))
+    names = P.table(spark, sf, "customer").select(
+        F.concat(word, number.cast("string"), F.lit(" of "), F.col("c_nationkey").cast("string")).alias("name"), F.col("c_nationkey").cast("long").alias("batch"))
+    keyed = S.natural_sort(names, "name")
+    place = F.rank().over(Window.partitionBy("batch").orderBy("sort_key"))
+    return keyed.select("name", "batch", place.cast("long").alias("place"))
 
 
 @query("grid_layout", """WITH g AS (SELECT o_custkey AS subject, o_orderkey AS image_id, o_totalprice AS ap,
