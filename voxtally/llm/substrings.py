@@ -28,20 +28,22 @@ from pyspark.taskcontext import TaskContext
 from voxtally.llm.common import mix64, settle
 
 LENGTH = 50
-SEED = 24
-CHUNK = 1 << 20
-BATCH = 1 << 20
+SEED = 20
+CHUNK = 2 << 20
+BATCH = 2 << 20
+TAG = 4
+_CODEC = pa.Codec("zstd", compression_level=3)
 LONGEST = 64
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NULL_ID = np.iinfo(np.int64).max
 
 
 def _zip(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
 
 
 def _unzip(data: bytes) -> bytes:
-    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return _CODEC.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -99,8 +101,8 @@ def stretches(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _tags(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each seed in the upper bits, 40 other bits of it in the lower."""
-    return ((keys % np.uint64(buckets)) << np.uint64(40)) | (keys >> np.uint64(24))
+    """The bucket of each seed in the upper bits, `TAG` other bytes of it in the lower."""
+    return ((keys % np.uint64(buckets)) << np.uint64(8 * TAG)) | (keys >> np.uint64(64 - 8 * TAG))
 
 
 class SuffixLevels:
@@ -151,6 +153,15 @@ class SuffixLevels:
         return np.concatenate(covered)
 
 
+def _later(raw: bytes, starts: np.ndarray, ends: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Which of some strings a smaller document holds among them."""
+    names: dict[bytes, int] = {}
+    name = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
+    least = np.full(len(names), _NULL_ID)
+    np.minimum.at(least, name, docs)
+    return docs > least[name]
+
+
 def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First numbers and lengths of the runs in some numbers."""
     places = np.unique(places)
@@ -169,9 +180,9 @@ def covered_places(chunks: DataFrame, buckets: int, length: int, seed: int, batc
                 _, offsets, data = texts(payload.as_py())
                 _, _, keys = stretches(seeds(data, offsets, length, seed))
                 tags, counts = np.unique(_tags(keys, buckets), return_counts=True)
-                at = np.searchsorted(tags, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40))
+                at = np.searchsorted(tags, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(8 * TAG))
                 some = np.flatnonzero(np.diff(at))
-                low = tags.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                low = tags.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TAG]
                 packed = [low[at[b] : at[b + 1]].tobytes() + np.packbits(counts[at[b] : at[b + 1]] > 1).tobytes() for b in some]
                 sizes = np.diff(at)[some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "chunk", "n", "tags"])
@@ -182,16 +193,16 @@ def covered_places(chunks: DataFrame, buckets: int, length: int, seed: int, batc
 
         def flush() -> pa.RecordBatch:
             sizes = [n for _, n, _ in held]
-            raw = b"".join(t[: 5 * n] for _, n, t in held)
+            raw = b"".join(t[: TAG * n] for _, n, t in held)
             tags = np.zeros((sum(sizes), 8), dtype=np.uint8)
-            tags[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+            tags[:, :TAG] = np.frombuffer(raw, np.uint8).reshape(-1, TAG)
             tags = tags.view("<u8").ravel()
             order = np.argsort(tags, kind="stable")
             same = tags[order][1:] == tags[order][:-1]
             shared = np.zeros(len(tags), dtype=bool)
             shared[order[1:]] |= same
             shared[order[:-1]] |= same
-            shared |= np.concatenate([np.unpackbits(np.frombuffer(t[5 * n :], np.uint8), count=n).astype(bool) for _, n, t in held])
+            shared |= np.concatenate([np.unpackbits(np.frombuffer(t[TAG * n :], np.uint8), count=n).astype(bool) for _, n, t in held])
             bits = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(sizes)[:-1])]
             return pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in held], pa.int64()), pa.array([1] * len(held), pa.int32()), pa.array([bucket] * len(held), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "kind", "bucket", "payload"])
 
@@ -210,7 +221,7 @@ def covered_places(chunks: DataFrame, buckets: int, length: int, seed: int, batc
         ids, offsets, data = texts(payload)
         first, number, keys = stretches(seeds(data, offsets, length, seed))
         tags, inverse = np.unique(_tags(keys, buckets), return_inverse=True)
-        at = np.searchsorted(tags, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(40))
+        at = np.searchsorted(tags, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(8 * TAG))
         shared = np.zeros(len(tags), dtype=bool)
         for b, bits in flags.items():
             shared[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[b + 1] - at[b])
@@ -219,14 +230,10 @@ def covered_places(chunks: DataFrame, buckets: int, length: int, seed: int, batc
         doc = ids[np.searchsorted(offsets, first, side="right") - 1]
         raw = data.tobytes()
         ends = first + number + length - 1
-        names: dict[bytes, int] = {}
-        name = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(first.tolist(), ends.tolist(), strict=True)], dtype=np.int64)
-        least = np.full(len(names), _NULL_ID)
-        np.minimum.at(least, name, doc)
-        late = doc > least[name]
+        late = _later(raw, first, ends, doc)
         if late.any():
             yield chunk % buckets, 1, _pack(first[late].astype("<i4"), number[late].astype("<i4"))
-        bucket = (tags[tag] >> np.uint64(40)).astype(np.int64)
+        bucket = (tags[tag] >> np.uint64(8 * TAG)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         order = order[~late[order]]
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -253,19 +260,24 @@ def covered_places(chunks: DataFrame, buckets: int, length: int, seed: int, batc
         bucket, held, size, levels = None, [], 0, SuffixLevels()
 
         def file() -> pa.RecordBatch:
-            strings, docs_, places = [], [], []
-            for k, (_, payload) in enumerate(held):
-                doc, first, number, body = _unpack(payload, "<i8", "<i4", "<i4", "u1")
-                number = number.astype(np.int64)
-                lead = np.cumsum(number + length - 1) - (number + length - 1)
-                step = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                view = np.lib.stride_tricks.sliding_window_view(body, length)
-                strings.append(np.ascontiguousarray(view[np.repeat(lead, number) + step]).view(f"S{length}").ravel())
-                docs_.append(np.repeat(doc, number))
-                owner = len(chunks_seen) + k
-                places.append((owner << 40) | (np.repeat(first, number).astype(np.int64) + step))
+            """A batch: of equal stretches only those of the smallest document get their suffixes sorted."""
+            parts = [_unpack(payload, "<i8", "<i4", "<i4", "u1") for _, payload in held]
+            doc = np.concatenate([x[0] for x in parts])
+            number = np.concatenate([x[2] for x in parts]).astype(np.int64)
+            owner = len(chunks_seen) + np.repeat(np.arange(len(parts)), [len(x[0]) for x in parts])
+            place = (owner << 40) | np.concatenate([x[1] for x in parts]).astype(np.int64)
+            body = np.concatenate([x[3] for x in parts])
+            ends = np.cumsum(number + length - 1)
+            lead = ends - (number + length - 1)
+            late = _later(body.tobytes(), lead, ends, doc)
+            early = np.flatnonzero(~late)
+            step = np.arange(number[early].sum()) - np.repeat(np.cumsum(number[early]) - number[early], number[early])
+            view = np.lib.stride_tricks.sliding_window_view(body, length)
+            strings = np.ascontiguousarray(view[np.repeat(lead[early], number[early]) + step]).view(f"S{length}").ravel()
+            found = levels.add(strings, np.repeat(doc[early], number[early]), np.repeat(place[early], number[early]) + step)
+            gone = np.repeat(place[late], number[late]) + np.arange(number[late].sum()) - np.repeat(np.cumsum(number[late]) - number[late], number[late])
+            covered = np.concatenate([found, gone])
             chunks_seen.extend(c for c, _ in held)
-            covered = levels.add(np.concatenate(strings), np.concatenate(docs_), np.concatenate(places))
             covered.sort()
             owners = covered >> 40
             cuts = np.flatnonzero(np.diff(owners)) + 1
@@ -304,7 +316,7 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     """Whole rows of `docs` in stored chunks of about `size` bytes of text: chunk, payload, rest.
 
     The payload holds the ids (a null is the largest), offsets and text bytes; the rest all
-    columns but the text as an Arrow stream.
+    columns as an Arrow stream, with whether the text is null in its place.
     """
     names = docs.columns
     at_id, at_text = names.index(id_col), names.index(text_col)
@@ -317,7 +329,7 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
             ids = np.array([_NULL_ID if x is None else x for x in table.column(at_id).to_pylist()], dtype="<i8")
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in blobs])]).astype("<i8")
             payload = _pack(ids, offsets, np.frombuffer(b"".join(blobs), np.uint8))
-            rest = table.remove_column(at_text)
+            rest = table.set_column(at_text, text_col, table.column(at_text).is_null())
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, rest.schema) as writer:
                 writer.write_table(rest)
@@ -358,9 +370,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if report:
         docs = docs.select(id_col, text_col)
     chunks = make_chunks(docs, id_col, text_col, chunk)
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = covered_places(chunks, buckets, length, seed, batch)
-    at_text, names = docs.columns.index(text_col), docs.columns
+    at_text = docs.columns.index(text_col)
     id_field = docs.schema[id_col]
     reported = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     schema = reported if report else docs.schema
@@ -380,8 +392,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         left = offsets - total[offsets]
         texts = [kept[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
         if not report:
-            whole = pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string())
-            return table.add_column(at_text, text_col, whole).select(names)
+            null = table.column(at_text).to_numpy()
+            return table.set_column(at_text, text_col, pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string(), mask=null))
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         begin = offsets[:-1][offsets[:-1] < len(data)]
