@@ -13,7 +13,7 @@ many of the group's slots fall in each block."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +28,7 @@ from voxtally.operators.ordering import with_rank
 
 BLOCK_SIZE = 4096
 DRAW_BITS = 62
+DRAW_BUDGET = 2_000_000  # draws held at once in a task
 SUMS_SCHEMA = "resample int, cell int, k int, v double"
 # Seeds of the independent draw streams of one analysis.
 BLOCK_STREAM, IN_BLOCK_STREAM, PERMUTATION_STREAM, CONDITION_STREAM, SPLIT_STREAM = 11, 12, 21, 22, 31
@@ -126,12 +127,54 @@ def permutation_draws(blocks: Blocks, n: int, seed: int) -> DataFrame:
     )
 
 
-def permutation_cuts(blocks: Blocks, n: int, seed: int) -> DataFrame:
-    """(resample, cut, threshold): draws at the group boundaries of each permutation."""
+def permutation_cuts(blocks: Blocks, n: int, seed: int, bins: int = 256) -> DataFrame:
+    """(resample, cut, threshold): draws at the group boundaries of each permutation.
+
+    Tasks draw in numpy and count draws per leading bits; a second pass returns only the draws of
+    the bins in which a boundary lies.  What the driver sees is permutations x groups numbers."""
+    bounds = np.cumsum(blocks.sizes)[:-1]
     spark = blocks.rows.sparkSession
-    bounds = [(i, int(v)) for i, v in enumerate(np.cumsum(blocks.sizes)[:-1])]
-    cuts = fan_out(spark.createDataFrame(bounds, "cut int, rank long"), n)
-    return cut_points(permutation_draws(blocks, n, seed), ["resample"], cuts)
+    if not len(bounds) or not n:
+        return spark.createDataFrame([], "resample int, cut int, threshold long")
+    shift, code = DRAW_BITS - int(np.log2(bins)), stream(seed, PERMUTATION_STREAM)
+
+    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for pdf in frames:
+            sid = pdf["sid"].to_numpy()
+            step = max(1, DRAW_BUDGET // max(1, len(sid)))
+            for first in range(0, n, step):
+                ids = np.arange(first, min(n, first + step))
+                yield ids, D.draw62(code, ids[:, None], sid[None, :])
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, draws in drawn(frames):
+            found = np.bincount((np.arange(len(ids))[:, None] * bins + (draws >> shift)).ravel(), minlength=len(ids) * bins)
+            at = np.flatnonzero(found)
+            yield pd.DataFrame({"resample": ids[at // bins], "bin": at % bins, "n": found[at]})
+
+    sids = blocks.rows.select("sid")
+    hist = sids.mapInPandas(count, "resample int, bin int, n long").groupBy("resample", "bin").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("resample").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = F.array(*[F.lit(int(b)) for b in bounds])
+    located = (
+        hist.withColumn("to", F.sum("n").over(upto)).select("*", F.posexplode(ranks).alias("cut", "rank"))
+        .filter((F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("n")))
+        .select("resample", "bin", "cut", (F.col("rank") - F.col("to") + F.col("n")).alias("local"))
+    ).toPandas()
+    wanted = np.zeros((n, bins), dtype=bool)
+    wanted[located["resample"], located["bin"]] = True
+
+    def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, draws in drawn(frames):
+            row, column = np.nonzero(wanted[ids[:, None], draws >> shift])
+            draw = draws[row, column]
+            yield pd.DataFrame({"resample": ids[row], "bin": draw >> shift, "draw": draw})
+
+    inside = Window.partitionBy("resample", "bin").orderBy("draw")
+    ordered = sids.mapInPandas(fetch, "resample int, bin int, draw long").withColumn("local", F.row_number().over(inside))
+    places = spark.createDataFrame(located.astype("int64"), "resample long, bin long, cut long, local long").select(
+        *[F.col(c).cast("int").alias(c) for c in ("resample", "bin", "cut", "local")])
+    return places.join(ordered, ["resample", "bin", "local"]).select("resample", "cut", F.col("draw").alias("threshold"))
 
 
 def permuted_groups(blocks: Blocks, n: int, seed: int) -> DataFrame:
@@ -180,16 +223,23 @@ def permutation_plan(blocks: Blocks, n_perm: int, seed: int) -> DataFrame:
 
 def bootstrap_slots(blocks: Blocks, n: int, seed: int) -> DataFrame:
     """(_group, _block, resample, slots): how many of the group's draws fall in each block."""
-    sizes = F.array(*[F.lit(int(v)).cast("long") for v in blocks.sizes])
-    hit = F.pmod(
-        draw62(stream(seed, BLOCK_STREAM), F.col("resample"), F.col("sid")), F.get(sizes, F.col("group"))
-    )
-    return (
-        fan_out(blocks.rows.select("sid", "group"), n)
-        .select(F.col("group").alias("_group"), "resample", F.floor(hit / F.lit(blocks.block_size)).cast("int").alias("_block"))
-        .groupBy("_group", "_block", "resample")
-        .agg(F.count(F.lit(1)).cast("int").alias("slots"))
-    )
+    sizes, per_group, block_size = blocks.sizes, blocks.blocks_per_group, blocks.block_size
+    code = stream(seed, BLOCK_STREAM)
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for group, part in pdf.groupby("group"):
+                sid, n_blocks = part["sid"].to_numpy(), per_group[group]
+                step = max(1, DRAW_BUDGET // len(sid))
+                for first in range(0, n, step):
+                    ids = np.arange(first, min(n, first + step))
+                    hit = D.draw62(code, ids[:, None], sid[None, :]) % sizes[group] // block_size
+                    slots = np.bincount((np.arange(len(ids))[:, None] * n_blocks + hit).ravel(), minlength=len(ids) * n_blocks)
+                    at = np.flatnonzero(slots)
+                    yield pd.DataFrame({"_group": group, "_block": at % n_blocks, "resample": ids[at // n_blocks], "slots": slots[at]})
+
+    counted = blocks.rows.select("sid", "group").mapInPandas(count, "_group int, _block int, resample int, slots long")
+    return counted.groupBy("_group", "_block", "resample").agg(F.sum("slots").cast("int").alias("slots"))
 
 
 def candidates(n: int) -> int:
