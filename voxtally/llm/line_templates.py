@@ -53,13 +53,17 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", share: float = SHARE,
     often = paths.where(F.col("texts") >= need).select("n", "lead")
     held = settle(lines.join(F.broadcast(often), ["n", "lead"]).select("key", "at", "n", "lead", masked(F.col("line")).alias("line")), "lines")
     forms = settle(held.select("n", "lead", "line", "key").distinct().groupBy("n", "lead", "line").agg(F.count("*").alias("texts")), "forms")
-    tokens = forms.select("n", "lead", "line", "texts", F.posexplode(F.split("line", " ")).alias("place", "token"))
+    # the leading tokens are fixed, as their path recurs; only those behind them are counted
+    behind = F.slice(F.split("line", " "), leading + 1, F.greatest(F.col("n") - leading, F.lit(1)))
+    tokens = settle(forms.select("n", "lead", "line", "texts", F.posexplode(behind).alias("place", "token")), "tokens")
     common = tokens.groupBy("n", "lead", "place", "token").agg((F.sum("texts") >= need).alias("fixed"))
     marked = tokens.join(common, ["n", "lead", "place", "token"])
     word = F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD))
     in_order = F.array_sort(F.collect_list(F.struct("place", word.alias("word"))))
-    shapes = marked.groupBy("n", "lead", "line").agg(F.first("texts").alias("texts"), in_order.alias("words"))
-    shapes = shapes.select("n", "lead", "line", "texts", F.concat_ws(" ", F.col("words.word")).alias("template"), F.size(F.filter("words", lambda w: w["word"] != FIELD)).alias("kept"))
+    rest = marked.groupBy("n", "lead", "line").agg(in_order.alias("rest"))
+    words = F.concat(F.split("lead", " "), F.coalesce(F.col("rest.word"), F.array()))
+    shapes = forms.join(rest, ["n", "lead", "line"], "left").withColumn("words", words)
+    shapes = shapes.select("n", "lead", "line", "texts", F.concat_ws(" ", "words").alias("template"), F.size(F.filter("words", lambda w: w != FIELD)).alias("kept"))
     shapes = settle(shapes, "shapes")
     recurring = shapes.where(F.col("kept") >= fixed * F.col("n")).groupBy("n", "lead", "template").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= need).select("n", "lead", "template")
     gone = shapes.where(F.col("kept") >= fixed * F.col("n")).join(recurring, ["n", "lead", "template"]).select("n", "lead", "line")
