@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +21,6 @@ from pyspark.sql import functions as F
 
 from voxtally.functions import draws as D
 from voxtally.functions.columns import number
-from voxtally.functions.special import normal_quantile
 from voxtally.operators import resample as RS
 from voxtally.operators.resample import Blocks
 from voxtally.operators.stats import Matrix
@@ -327,10 +328,13 @@ def meancentered_pls(
 
     thresholds = pvalues = None
     if n_perm > 0:
-        n = RS.candidates(n_perm)
-        thresholds = RS.threshold_array(RS.permutation_cuts(blocks, n, seed), (n, groups - 1), ["resample"])
-        sums = RS.permutation_sums(blocks, n, seed, thresholds, n_cond).persist()
-        accepted = RS.accepted_permutations(sums, matrix.sizes, n_moments, n_perm)
+
+        def permute(n: int) -> DataFrame:
+            nonlocal thresholds
+            thresholds = RS.threshold_array(RS.permutation_cuts(blocks, n, seed), (n, groups - 1), ["resample"])
+            return RS.permutation_sums(blocks, n, seed, thresholds, n_cond)
+
+        sums, accepted = RS.drawn_until(n_perm, permute, lambda s: RS.accepted_permutations(s, matrix.sizes, n_moments, n_perm))
 
         def one_permutation(pdf: pd.DataFrame) -> pd.DataFrame:
             _, dp, vp = decompose(cross(dense(pdf, groups, n_moments + 1)))
@@ -358,9 +362,9 @@ def meancentered_pls(
         "feature int, acronym string, lv int, weight double",
     )
     if n_boot > 0:
-        n = RS.candidates(n_boot)
-        boot = RS.bootstrap_sums(blocks, n, seed).persist()
-        kept = RS.accepted_bootstraps(boot, matrix.sizes, n_moments, n_boot)
+        boot, kept = RS.drawn_until(
+            n_boot, lambda n: RS.bootstrap_sums(blocks, n, seed), lambda s: RS.accepted_bootstraps(s, matrix.sizes, n_moments, n_boot)
+        )
         unit_u = unit_columns(u)
 
         def one_bootstrap(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -604,9 +608,9 @@ def behavioral_pls(
         "cell int, condition string, behaviour string, lv int, loading double",
     )
     if n_boot > 0:
-        n = RS.candidates(n_boot)
-        boot = RS.bootstrap_sums(blocks, n, seed, pairs).persist()
-        kept = RS.accepted_bootstraps(boot, sizes, width, n_boot).persist()
+        boot, kept = RS.drawn_until(
+            n_boot, lambda n: RS.bootstrap_sums(blocks, n, seed, pairs), lambda s: RS.accepted_bootstraps(s, sizes, width, n_boot)
+        )
 
         def one_bootstrap(pdf: pd.DataFrame) -> pd.DataFrame:
             ub, db, _ = decompose(cross(dense(pdf, n_g, width + 2)))
@@ -992,13 +996,14 @@ def pls_regression(
         "cell int, behaviour string, lv int, loading double",
     )
     if n_boot > 0:
-        count = RS.candidates(n_boot)
         repeats = None
         if depth > 1:
             code = RS.stream(seed, RS.CONDITION_STREAM)
             repeats = lambda r, z: condensed(z, D.draw62(code, np.array(r), np.arange(depth)) % depth)
-        boot = RS.bootstrap_sums(raw if depth > 1 else blocks, count, seed, pairs, repeats)
-        kept = RS.accepted_bootstraps(boot, [n], width, n_boot)
+        boot, kept = RS.drawn_until(
+            n_boot, lambda count: RS.bootstrap_sums(raw if depth > 1 else blocks, count, seed, pairs, repeats),
+            lambda s: RS.accepted_bootstraps(s, [n], width, n_boot),
+        )
 
         def one_bootstrap(pdf: pd.DataFrame) -> pd.DataFrame:
             m = dense(pdf, 1, width + 2)[0][:width]
@@ -1046,8 +1051,7 @@ def lv_estimate(result: PLSResult, lv: int = 1) -> DataFrame:
 
 def salience(result: PLSResult, lv: int = 1, alpha: float = 0.05) -> DataFrame:
     """Bootstrap ratio and standard error per structure, with the two-sided significance flag."""
-    limit = normal_quantile(number(1.0 - alpha / 2.0))
-    table = result["weights"].filter(F.col("lv") == lv).withColumn("_limit", limit)
+    table = result["weights"].filter(F.col("lv") == lv).withColumn("_limit", number(NormalDist().inv_cdf(1.0 - alpha / 2.0)))
     return table.select(
         "acronym", "lv", F.col("ratio").alias("salience"), F.col("se").alias("stderr"),
         (F.abs(F.col("ratio")) > F.col("_limit")).alias("significant"),

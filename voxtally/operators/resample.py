@@ -206,19 +206,17 @@ def rejected_permutations(assigned: DataFrame, sizes: Sequence[int]) -> DataFram
 def permutation_plan(blocks: Blocks, n_perm: int, seed: int) -> DataFrame:
     """The accepted permutations, renumbered 0..n_perm-1: (perm, sid, group, new_group).
 
-    Candidates are drawn in surplus; a candidate that maps a group onto itself is dropped while
-    enough others remain."""
-    n = candidates(n_perm)
-    assigned = permuted_groups(blocks, n, seed)
+    A candidate that maps a group onto itself is dropped, and more are drawn while too few are left."""
     if len(blocks.sizes) < 2:
-        return assigned.filter(F.col("resample") < n_perm).withColumnRenamed("resample", "perm")
-    bad = rejected_permutations(assigned, blocks.sizes).withColumn("_bad", F.lit(1))
-    ids = blocks.rows.sparkSession.range(n).select(F.col("id").cast("int").alias("resample"))
-    order = Window.orderBy(F.coalesce(F.col("_bad"), F.lit(0)), "resample")  # one row per candidate
-    kept = ids.join(bad, "resample", "left").withColumn("perm", F.row_number().over(order) - 1).filter(
-        F.col("perm") < n_perm
-    )
-    return assigned.join(kept.select("resample", "perm"), "resample").drop("resample")
+        return permuted_groups(blocks, n_perm, seed).withColumnRenamed("resample", "perm")
+    order = Window.orderBy("resample")  # one row per candidate
+
+    def accept(assigned: DataFrame) -> DataFrame:
+        fine = assigned.select("resample").distinct().join(rejected_permutations(assigned, blocks.sizes), "resample", "left_anti")
+        return fine.withColumn("perm", F.row_number().over(order) - 1).filter(F.col("perm") < n_perm)
+
+    assigned, kept = drawn_until(n_perm, lambda n: permuted_groups(blocks, n, seed), accept)
+    return assigned.join(kept, "resample").drop("resample")
 
 
 def bootstrap_slots(blocks: Blocks, n: int, seed: int) -> DataFrame:
@@ -242,8 +240,20 @@ def bootstrap_slots(blocks: Blocks, n: int, seed: int) -> DataFrame:
     return counted.groupBy("_group", "_block", "resample").agg(F.sum("slots").cast("int").alias("slots"))
 
 
-def candidates(n: int) -> int:
-    return n + max(10, n // 20)
+def drawn_until(n: int, draw: Callable[[int], DataFrame], accept: Callable[[DataFrame], DataFrame], rounds: int = 9) -> tuple[DataFrame, DataFrame]:
+    """``draw(count)`` for as many candidates as give ``n`` that ``accept`` keeps: (draws, kept resamples).
+
+    A candidate's draws depend on its number alone, so more candidates change none of the earlier.
+    When 2**rounds times as many still do not do, the rule cannot be met and the job fails."""
+    count = n + max(10, n // 20)
+    for _ in range(rounds):
+        draws = draw(count).persist()
+        kept = accept(draws)
+        if kept.count() >= n:
+            return draws, kept
+        draws.unpersist()
+        count *= 2
+    raise ValueError(f"fewer than {n} of {count // 2} resamples keep the rules; the groups are too small")
 
 
 def block_multiplicities(
@@ -352,7 +362,8 @@ def bootstrap_sums(
 
 def accepted_bootstraps(sums: DataFrame, sizes: Sequence[int], n_moments: int, n_boot: int, n_cond: int = 1) -> DataFrame:
     """(resample) of the first ``n_boot`` candidates whose groups all hold at least half as many
-    distinct subjects as the smallest group has rows, repeats of an earlier draw of a group last."""
+    distinct subjects as the smallest group has rows.  A repeat of an earlier draw of a group comes
+    last, as small groups have no other draws."""
     minimum = int(np.ceil(min(sizes) * 0.5))
     distinct = sums.filter(F.col("k") == n_moments).groupBy("resample").agg(
         (F.min("v") < minimum).alias("_few")
@@ -367,7 +378,7 @@ def accepted_bootstraps(sums: DataFrame, sizes: Sequence[int], n_moments: int, n
     return (
         distinct.join(repeats, "resample")
         .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= n_boot)
+        .filter((F.col("_n") <= n_boot) & ~F.col("_few"))
         .select("resample")
     )
 
@@ -456,14 +467,14 @@ def permutation_sums(blocks: Blocks, n: int, seed: int, thresholds: np.ndarray,
 
 
 def accepted_permutations(sums: DataFrame, sizes: Sequence[int], k_kept: int, n_perm: int) -> DataFrame:
-    """(resample) of the first candidates that map no group onto itself; the others come last."""
+    """(resample) of the first candidates that map no group onto itself."""
     size = F.array(*[F.lit(float(n)) for n in sizes])
     same = F.col("v") == F.get(size, F.col("cell"))
     state = sums.filter(F.col("k") == k_kept).groupBy("resample").agg(
         (F.max(same) & F.lit(len(sizes) > 1)).alias("_same")
     )
-    order = Window.orderBy("_same", "resample")  # one row per candidate
-    return state.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n_perm).select("resample")
+    order = Window.orderBy("resample")  # one row per candidate
+    return state.filter(~F.col("_same")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n_perm).select("resample")
 
 
 # ------------------------------------------------------------------ stratified splits

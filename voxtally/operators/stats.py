@@ -26,21 +26,21 @@ def adjust_pvalues(
 ) -> DataFrame:
     """Add the corrected p-value and ``reject``.  NULL p-values are outside the family.
 
-    Equal p-values share a corrected value, so ranks and running extremes are taken over distinct
-    p-values with their counts."""
+    Equal p-values share a corrected value.  A family is one window partition; it holds at most one
+    p-value per structure, pair or both, whatever the number of animals."""
     if method is None:
         return df.withColumn(out, F.col(p)).withColumn("reject", F.col(p) <= number(alpha))
     if method not in METHODS:
         raise ValueError(f"unsupported correction method {method!r}; use one of {METHODS}")
     keys = list(family) or ["_family"]
     tagged = df if family else df.withColumn("_family", F.lit(1))
-    # one row per distinct p-value: at most structures x pairs per family, so plain windows serve
-    levels = tagged.filter(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*keys).orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = levels.select("*", F.sum("_c").over(Window.partitionBy(*keys)).alias("_m"), F.sum("_c").over(up).alias("_last"))
-    pv, m = F.col("_p"), F.col("_m").cast("double")
-    first = F.col("_last") - F.col("_c")  # ranks before this level
+    family_of = Window.partitionBy(*keys)
+    up, down = family_of.orderBy("_p"), family_of.orderBy(F.col("_p").desc())  # frames that take in ties
+    pv, last = F.col("_p"), F.col("_last")
+    ranked = tagged.withColumn("_p", F.col(p)).withColumns({
+        "_m": F.count("_p").over(family_of), "_last": F.count("_p").over(up), "_c": F.count("_p").over(Window.partitionBy(*keys, "_p")),
+    })
+    m, first = F.col("_m").cast("double"), last - F.col("_c")  # ranks before this p-value
     if method == "bonferroni":
         adjusted = pv * m
     elif method == "sidak":
@@ -50,16 +50,14 @@ def adjust_pvalues(
     elif method == "holm-sidak":
         adjusted = F.max(-F.expm1((m - first) * F.log1p(-pv))).over(up)
     elif method == "simes-hochberg":
-        adjusted = F.min(pv * (m - F.col("_last") + number(1))).over(down)
+        adjusted = F.min(pv * (m - last + number(1))).over(down)
     else:
-        raw = pv * m / F.col("_last")
+        raw = pv * m / F.greatest(last, F.lit(1))
         if method == "fdr_by":
-            raw = raw * F.aggregate(F.sequence(F.lit(1), F.col("_m")), number(0), lambda a, i: a + number(1) / i)
+            raw = raw * F.aggregate(F.sequence(F.lit(1), F.greatest("_m", F.lit(1))), number(0), lambda a, i: a + number(1) / i)
         adjusted = F.min(raw).over(down)
-    table = ranked.withColumn("_adj", adjusted)
-    corrected = table.select(*keys, F.col("_p").alias(p), F.least(F.col("_adj"), number(1)).alias(out))
-    joined = tagged.join(corrected, [*keys, p], "left")
-    return joined.withColumn("reject", F.col(out) <= number(alpha)).select(*df.columns, out, "reject")
+    corrected = ranked.withColumn(out, F.when(pv.isNotNull(), F.least(adjusted, number(1))))
+    return corrected.withColumn("reject", F.col(out) <= number(alpha)).select(*df.columns, out, "reject")
 
 
 def group_moments(results: DataFrame, keys: Sequence[str], values: str) -> DataFrame:

@@ -7,8 +7,8 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
+from voxtally.functions import special
 from voxtally.functions.columns import number
-from voxtally.functions.draws import draw62 as np_draw62  # noqa: F401
 from voxtally.operators import network as N
 from voxtally.operators import pls as L
 from voxtally.operators import regions as G
@@ -140,14 +140,29 @@ def paint_f(spark, sf):
     return rounded(G.paint(P.voxels(spark, sf), table, P.structures(spark, sf), "F"))
 
 
-@query("paint_z")
-def paint_z(spark, sf):
-    """z = quantile of 1 - p for structures with p <= alpha, on their voxels."""
-    from voxtally.functions.special import normal_quantile
+def _horner(coefficients, x: str) -> str:
+    total = f"CAST({coefficients[0]!r} AS DOUBLE)"
+    for c in coefficients[1:]:
+        total = f"({total} * {x} + CAST({c!r} AS DOUBLE))"
+    return total
+
 
-    table = T.anova(_leaves(spark, sf), "condition", "cells", 2).filter("p <= 0.9")
-    scored = table.withColumn("z_score", normal_quantile(number(1) - F.col("p")))
-    return rounded(G.paint(P.voxels(spark, sf), scored, P.structures(spark, sf), "z_score"))
+_Q, _S = "(CAST(0.5 AS DOUBLE) - p)", "sqrt(-2 * ln(least(p, 1 - p)))"
+_OUTER = f"{_horner(special.QUANTILE_C, _S)} / {_horner(special.QUANTILE_D, _S)}"
+# The quantile of 1 - p.
+UPPER_QUANTILE = f"""CASE WHEN p = 0 THEN CAST('inf' AS DOUBLE) WHEN p = 1 THEN CAST('-inf' AS DOUBLE) WHEN p > 1 - {special.QUANTILE_TAIL} THEN {_OUTER}
+  WHEN p < {special.QUANTILE_TAIL} THEN -({_OUTER}) ELSE {_horner(special.QUANTILE_A, f'({_Q} * {_Q})')} * {_Q} / {_horner(special.QUANTILE_B, f'({_Q} * {_Q})')} END"""
+
+
+@query("paint_z", f"""WITH {POSTHOC}, {VOXELS}, z AS (SELECT acronym, {UPPER_QUANTILE} AS z FROM (SELECT acronym, p_corrected AS p FROM post WHERE a = 'AUTOMOBILE' AND b = 'BUILDING'))
+  SELECT z, y, x, struct_id, {R("coalesce(q.score, 0)", 4)} AS value FROM voxels LEFT JOIN (SELECT s.id, z.z AS score FROM z JOIN structures s USING (acronym)) q ON q.id = struct_id""")
+def paint_z(spark, sf):
+    """z = quantile of 1 - p on the voxels of each structure, p the corrected post-hoc p of one pair."""
+    leaves = _leaves(spark, sf)
+    table = T.anova(leaves, "condition", "cells", 2, alpha=0.9)
+    every = T.posthoc_long(leaves, table, "condition", "cells", S.possible_contrasts(leaves))
+    scored = every.filter((F.col("a") == "AUTOMOBILE") & (F.col("b") == "BUILDING")).select("acronym", special.normal_quantile(number(1) - F.col("p_corrected")).alias("z_score"))
+    return rounded(G.paint(P.voxels(spark, sf), scored, P.structures(spark, sf), "z_score"), 4)
 
 
 # ---------------------------------------------------------------- matrix
@@ -232,20 +247,35 @@ def edge_pvalues(spark, sf):
     return rounded(_named(edges, m.features).drop("n"))
 
 
-N_BOOT = 200
+N_BOOT = 1000
 BOOT_DRAWS = f"""
 ordered AS (SELECT animal_id, condition, row_number() OVER (ORDER BY animal_id) - 1 AS pos FROM animals),
 size AS (SELECT count(*) AS n FROM animals)"""
 
 
-@query("edge_bootstrap")
+# Weights of every bootstrap, its correlations, and the share with a larger absolute value, corrected over all pairs.
+BOOTSTRAP = f"""{EDGES},{BOOT_DRAWS}, f AS (SELECT r, unnest(range((SELECT n FROM size))) AS slot FROM (SELECT unnest(range({N_BOOT})) AS r)),
+  {draw_ctes("f", "d", RS.stream(SEED, RS.IN_BLOCK_STREAM), "r", "slot", "draw")},
+  w AS (SELECT r, draw % (SELECT n FROM size) AS pos, CAST(count(*) AS DOUBLE) AS w FROM d GROUP BY ALL),
+  wide AS (SELECT w.r, w.w, z.acronym, z.v, w.pos FROM w JOIN ordered o USING (pos) JOIN z USING (animal_id)),
+  rb AS (SELECT p.r, p.acronym AS a, q.acronym AS b, (sum(p.w) * sum(p.w * p.v * q.v) - sum(p.w * p.v) * sum(p.w * q.v))
+      / sqrt((sum(p.w) * sum(p.w * p.v * p.v) - pow(sum(p.w * p.v), 2)) * (sum(p.w) * sum(p.w * q.v * q.v) - pow(sum(p.w * q.v), 2))) AS rb
+    FROM wide p JOIN wide q ON p.r = q.r AND p.pos = q.pos AND p.acronym < q.acronym GROUP BY 1, 2, 3),
+  ex AS (SELECT a, b, count(*) FILTER (abs(rb.rb) > abs(pairs.r)) AS exceed, count(*) AS n FROM rb JOIN pairs USING (a, b) GROUP BY 1, 2),
+  rk AS (SELECT a, b, exceed, exceed / CAST(n AS DOUBLE) AS null_p, count(*) OVER () AS m, rank() OVER (ORDER BY exceed) + count(*) OVER (PARTITION BY exceed) - 1 AS r1 FROM ex),
+  boot AS (SELECT a, b, exceed, null_p, least(min(null_p * m / r1) OVER (ORDER BY null_p DESC), 1) AS null_pvalue FROM rk)"""
+
+
+@query("edge_bootstrap", f"WITH {BOOTSTRAP} SELECT a, b, exceed, {R('null_p')} AS null_p, {R('null_pvalue')} AS null_pvalue FROM boot")
 def edge_bootstrap(spark, sf):
     m, blocks = _network_blocks(spark, sf)
     pairs = N.correlation(blocks, len(m.features))
     return rounded(_named(N.edge_bootstrap(blocks, len(m.features), pairs, N_BOOT, SEED), m.features))
 
 
-@query("network_edges")
+@query("network_edges", f"""WITH {BOOTSTRAP}, idx AS (SELECT acronym, CAST(row_number() OVER (ORDER BY acronym) - 1 AS INTEGER) AS i FROM kept)
+  SELECT p.i AS source, q.i AS target, {R('e.r')} AS weight, {R('e.pvalue')} AS pvalue, {R('b.null_pvalue')} AS null_pvalue
+  FROM edges e JOIN boot b USING (a, b) JOIN idx p ON p.acronym = e.a JOIN idx q ON q.acronym = e.b""")
 def network_edges(spark, sf):
     m = _matrix(spark, sf)
     nodes, edges = N.network(m, N_BOOT, SEED)
