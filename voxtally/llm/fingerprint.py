@@ -109,8 +109,8 @@ def _compared(ids: pa.Array, texts: list[str], following: list[str]) -> list[pa.
         ids,
         pa.array([len(x) for x in texts], pa.int64()),
         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-        pa.array([v.tobytes().hex() for v in own], pa.string()),
-        pa.array([v.tobytes().hex() for v in other], pa.string()),
+        pa.array([v.tobytes() for v in own], pa.binary()),
+        pa.array([v.tobytes() for v in other], pa.binary()),
         pa.array(likeness(own, other), pa.float64()),
         pa.array(likeness(own, nxt), pa.float64()),
     ]
@@ -126,7 +126,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
-    found = T.StructType([T.StructField(id_col, id_type), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
+    found = T.StructType([T.StructField(id_col, id_type), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.BinaryType()), T.StructField("edited_fingerprint", T.BinaryType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
     schema = T.StructType([*found.fields, T.StructField("__range", T.IntegerType()), T.StructField("__end", T.StringType()), T.StructField("__text", T.StringType())])
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         held: tuple[pa.Array, str] | None = None
 
         def edge(ids: pa.Array, text: str, end: str) -> pa.RecordBatch:
-            blank = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            blank = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([ids, *blank, pa.array([part], pa.int32()), pa.array([end]), pa.array([text], pa.string())], names=schema.names)
 
         for whole in batches:
@@ -168,4 +168,5 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(_compared(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()), names=found.names)
 
-    return stored.where("__end is null").select(*found.names).unionByName(tails.mapInArrow(join_ends, found))
+    every = stored.where("__end is null").select(*found.names).unionByName(tails.mapInArrow(join_ends, found))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
