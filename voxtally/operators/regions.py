@@ -378,14 +378,9 @@ def densities(counts: DataFrame, areas: DataFrame, keys: Sequence[str], unit_sid
 
 
 def count_and_density_sheets(*args, per_area_side: float, **kwargs) -> tuple[DataFrame, DataFrame]:
-    """Raw and per-area versions of one summary; the second sheet only re-projects the first."""
-    raw = summarise(*args, **kwargs)
-    fixed = {"animal_id", "acronym", "name", "is_parent_structure", "is_gray_matter", "total_area_um2", "slice_id"}
-    counted = [c for c, t in raw.dtypes if t == "bigint" and c not in fixed]
-    dense = raw.select(
-        *[
-            density(col(c), F.col("total_area_um2").cast("double"), per_area_side).alias(c) if c in counted else col(c)
-            for c in raw.columns
-        ]
-    )
-    return raw, dense
+    """Raw and per-area versions of one summary: two projections of it, both from the exact area."""
+    both = summarise(*args, per_area_side=per_area_side, **kwargs)
+    measures = [c.removesuffix(NOT_NORMALISED) for c in both.columns if c.endswith(NOT_NORMALISED)]
+    dense = [c for c in both.columns if not c.endswith(NOT_NORMALISED)]
+    raw = both.select(*[col(c + NOT_NORMALISED).alias(c) if c in measures else col(c) for c in dense])
+    return raw, both.select(*[col(c) for c in dense])

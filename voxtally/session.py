@@ -29,11 +29,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable folder named by ``spark.checkpoint.dir``; a temporary one only where unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The reliable folder named by ``spark.checkpoint.dir``.
+
+    A local master gets a temporary one where it is unset; on a cluster, where executors could not read
+    that, an unset folder is an error."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = configured or tempfile.mkdtemp(prefix="voxtally-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="voxtally-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
