@@ -138,3 +138,15 @@ def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5, 5)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(100)}
+
+
+def test_sql_twin_finds_the_same_components():
+    import duckdb
+
+    rows = [*near_rows()[:90], (1000, None), (1001, ""), (1002, "a b c"), (1003, "A B C")]
+    link = duckdb.connect()
+    link.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    link.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = link.execute(near_dedup.near_duplicates_sql()).fetchall()
+    assert sorted(r[:3] for r in got) == sorted(brute(rows, 85))
+    assert all(kept == (doc_id == component) for doc_id, _, component, kept in got)

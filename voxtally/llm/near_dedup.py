@@ -277,3 +277,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = near_duplicates(docs, id_col, text_col, **settings).where(~F.col("kept")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")
+
+
+def near_duplicates_sql(width: int = WIDTH, percent: int = PERCENT) -> str:
+    """`near_duplicates` of `documents` (doc_id, text), whose ids are unique, in SQL."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i : i + {width - 1}], ' '))) END AS s FROM words),
+    sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+    each AS (SELECT doc_id, unnest(s) AS x FROM sets),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= {percent} * (p.n + q.n - k)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT w.b, r.root FROM reach r JOIN ways w ON w.a = r.id WHERE r.root < w.b),
+    least AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+    SELECT s.doc_id, s.n::BIGINT AS n_shingles, l.root AS component_id, s.doc_id = l.root AS kept FROM sizes s JOIN least l ON l.id = s.doc_id
+    """

@@ -50,7 +50,7 @@ def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op6_minhash_near_dedup")
+@query("op6_minhash_near_dedup", near_dedup.near_duplicates_sql())
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
