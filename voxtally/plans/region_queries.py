@@ -551,10 +551,11 @@ def can_calculate_results(spark, sf):
     return S.can_calculate_results(P.slice_documents(spark, sf), ("atlas", "affine"))
 
 
-@query("can_calculate_contrast", f"""WITH {SUBJECTS} SELECT count(DISTINCT condition) >= 2 AS ready, true AS params_complete,
-  bool_and(condition IS NOT NULL) AS all_have_condition, count(DISTINCT condition) AS n_values FROM subjects""")
+@query("can_calculate_contrast", f"""WITH {SUBJECTS}, {DOCS}, c AS (SELECT count(*) = 0 AS complete FROM docs WHERE NOT ignore AND NOT has_atlas)
+  SELECT count(DISTINCT condition) >= 2 AND bool_and(condition IS NOT NULL) AND bool_and(complete) AS ready, bool_and(complete) AS params_complete,
+  bool_and(condition IS NOT NULL) AS all_have_condition, count(DISTINCT condition) AS n_values FROM subjects, c""")
 def can_calculate_contrast(spark, sf):
-    return S.can_calculate_contrast(P.slice_documents(spark, sf), P.subjects(spark, sf), "segment", ("affine",))
+    return S.can_calculate_contrast(P.slice_documents(spark, sf), P.subjects(spark, sf), "segment", ("atlas", "affine"))
 
 
 @query("possible_contrasts", f"""WITH {SUBJECTS}, v AS (SELECT DISTINCT condition AS c FROM subjects)
