@@ -69,3 +69,9 @@ def test_plain_fingerprints(documents, odd_rows):
     got = fingerprint.fingerprints(documents(odd_rows))
     assert got.columns == ["doc_id", "fingerprint"]
     assert got.count() == len(odd_rows)
+
+
+def test_a_text_of_one_word_over_and_over_keeps_its_likeness():
+    for word in ("Orre", "And", "xyz"):
+        own, edited = one(" ".join([word] * 3000), " ".join([word] * 2000 + [f"x{i}" for i in range(1000)]))
+        assert 0.5 < fingerprint.likeness(own[None], edited[None])[0] < 0.8

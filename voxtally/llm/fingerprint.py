@@ -5,7 +5,7 @@ hashed from the whole paragraph, and `NEAR` lanes modulo 2**16 to which each of
 adds +1 or -1 in four lanes. Sums do not depend on order, and paragraphs can be added
 to or taken from a fingerprint (`combine`). The first part tells texts apart; the second
 keeps inner products, so it also tells how much two texts share. A phrase ends where a
-word's hash says so, so an edit changes only the phrases it touches.
+word's hash says so, or after `LONGEST` words, so an edit changes only the phrases it touches.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ EQUAL = 4
 NEAR = 128
 HANDS = 4
 PHRASE = 3
+LONGEST = 16
 BYTES = EQUAL * 8 + NEAR * 2
 
 
@@ -55,7 +56,8 @@ def vectors(column: pa.Array) -> np.ndarray:
             line = feeds[starts]
             opens[1:] = (hashes[:-1] % np.uint64(PHRASE) == 0) | (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])
             at = np.flatnonzero(opens)
-            place = np.arange(len(hashes)) - np.repeat(at, np.diff([*at, len(hashes)]))
+            place = (np.arange(len(hashes)) - np.repeat(at, np.diff([*at, len(hashes)]))) % LONGEST
+            at = np.flatnonzero(place == 0)
             phrase = mix64(np.add.reduceat(hashes * powers(int(place.max()) + 1)[place], at))
             for hand in range(HANDS):
                 bits = (phrase >> np.uint64(16 * hand)) & np.uint64(0xFFFF)
