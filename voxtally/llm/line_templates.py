@@ -7,7 +7,8 @@ line's template. A template whose lines recur in a share of all different texts,
 is fixed in most of its tokens, is dropped from every document.
 
 Because thresholds are shares of the number of texts, at most (lines a text / share) paths
-and templates can reach them, whatever the size of the input.
+and templates and (tokens a text / share) fixed tokens can reach them, whatever the size of
+the input; these paths and fixed tokens are broadcast.
 """
 
 from __future__ import annotations
@@ -56,8 +57,9 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", share: float = SHARE,
     # the leading tokens are fixed, as their path recurs; only those behind them are counted
     behind = F.slice(F.split("line", " "), leading + 1, F.greatest(F.col("n") - leading, F.lit(1)))
     tokens = settle(forms.select("n", "lead", "line", "texts", F.posexplode(behind).alias("place", "token")), "tokens")
-    common = tokens.groupBy("n", "lead", "place", "token").agg((F.sum("texts") >= need).alias("fixed"))
-    marked = tokens.join(common, ["n", "lead", "place", "token"])
+    common = tokens.groupBy("n", "lead", "place", "token").agg(F.sum("texts").alias("held")).where(F.col("held") >= need)
+    common = common.select("n", "lead", "place", "token", F.lit(True).alias("fixed"))
+    marked = tokens.join(F.broadcast(common), ["n", "lead", "place", "token"], "left")
     word = F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD))
     in_order = F.array_sort(F.collect_list(F.struct("place", word.alias("word"))))
     rest = marked.groupBy("n", "lead", "line").agg(in_order.alias("rest"))
