@@ -28,6 +28,19 @@ def test_pieces_are_the_tokenizers_ids_and_fill_sequences(documents, odd_rows):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // packing.SIZE) + 1
 
 
+def test_added_tokens_in_a_text_have_their_own_id(documents):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"x  {end}\n y", f"<|endoftext{end}|>", "<|endoftext|", "<|ENDOFTEXT|>", f"word {end} " * 1500]
+    got = packing.pack_documents(documents(list(enumerate(texts)))).toPandas()
+    for doc_id, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        mine = got[got.doc_id == doc_id].sort_values("piece")
+        assert list(zip(mine.start, mine.length, strict=True)) == packing.cut(len(ids), packing.SIZE)
+        assert mine.ids_crc32.tolist() == [zlib.crc32(ids[a : a + n].tobytes()) for a, n in packing.cut(len(ids), packing.SIZE)]
+    assert packing.encode_text(f"a {end} b", packing.vocabulary_path()) == [64, 220, 50256, 275]
+
+
 def test_only_long_documents_are_cut():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)]
     assert packing.cut(8, 4) == [(0, 4), (4, 4)]

@@ -9,9 +9,12 @@ the pieces of its length.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +38,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The byte-level BPE of a rank file; a special token's string is ordinary text."""
+    """The byte-level BPE of a rank file, for text without added tokens."""
     import public_tokenizers
     import tiktoken
 
@@ -44,6 +47,34 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[re.Pattern[str] | None, dict[str, int]]:
+    """What finds the added tokens of a `tokenizers` file in a text, the longest first, and their ids."""
+    with open(path, encoding="utf-8") as text:
+        found = json.load(text)["added_tokens"]
+    for token in found:
+        if token["lstrip"] or token["rstrip"] or token["single_word"]:
+            raise ValueError(f"the added token {token['content']!r} takes in or asks for what is around it")
+    ids = {token["content"]: token["id"] for token in found}
+    longest_first = sorted(ids, key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if ids else None, ids
+
+
+def encode_text(text: str, path: str) -> list[int]:
+    """The ids of a text by the rank file at `path` and the added tokens of the `tokenizers` file beside it.
+
+    An added token is matched wherever its string stands, and the text between is encoded part by part.
+    """
+    bpe = encoder(path)
+    pattern, added = added_tokens(str(Path(path).with_suffix(".json")))
+    if pattern is None or not pattern.search(text):
+        return bpe.encode_ordinary(text)
+    out: list[int] = []
+    for k, part in enumerate(pattern.split(text)):
+        out.extend([added[part]] if k % 2 else bpe.encode_ordinary(part))
+    return out
+
+
 def cut(n_ids: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces; only the first may be shorter than `size`."""
     rest = n_ids % size
@@ -54,14 +85,14 @@ def cut(n_ids: int, size: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and a closing id 0.
 
-    A null text is empty and gives the closing id alone.
+    Ids are those of the `tokenizers` file of the same name as the rank file at `path`, its
+    added tokens included. A null text is empty and gives the closing id alone.
     """
     path = path or vocabulary_path()
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
         for batch in batches:
             rows: list[int] = []
             piece: list[int] = []
@@ -69,7 +100,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             length: list[int] = []
             crc: list[int] = []
             for row, text in enumerate(batch.column(1)):
-                ids = np.array([*bpe.encode_ordinary(text.as_py() or ""), 0], dtype="<u4")
+                ids = np.array([*encode_text(text.as_py() or "", path), 0], dtype="<u4")
                 for k, (a, n) in enumerate(cut(len(ids), size)):
                     rows.append(row)
                     piece.append(k)
