@@ -29,6 +29,22 @@ def test_recall_and_exact_scores(spark, settings):
     assert hits / (35 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.25, 0.5, 1.0])
+def test_results_are_exact_at_even_and_uneven_lengths(spark, sigma):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(2000, 64))
+    vectors *= rng.lognormal(0, sigma, size=(2000, 1)) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    df = frame(spark, range(2000), vectors.tolist())
+    got = neighbours.neighbours(df, df.where("vec_id % 20 = 0"), "vec_id", "embedding").toPandas()
+    exact = vectors.astype(np.float32).astype(float) @ vectors.astype(np.float32).astype(float).T
+    hits = 0
+    for q in range(0, 2000, 20):
+        score = exact[q].copy()
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(got[got.query_id == q].vec_id))
+    assert hits == 100 * 20
+
+
 def test_ties_go_to_smaller_ids_and_bad_vectors_take_no_part(spark):
     same = [1.0, 2.0]
     rows = [(i, same) for i in range(60)] + [(100, None), (101, [0.0, 0.0]), (102, [None, 1.0]), (103, [float("nan"), 1.0]), (104, [float("inf"), 1.0]), (None, same), (105, [1.0]), (7, same)]

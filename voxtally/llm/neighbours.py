@@ -1,9 +1,16 @@
-"""Approximate nearest neighbours by a permutation index.
+"""Nearest neighbours by a permutation index.
 
 A vector is represented by the order of its nearest pivots. Each block of the index posts
 its vectors, with their place in that order, in an inverted file for each pivot. A query
 reads the files of its own nearest pivots, ranks the block's vectors by the footrule
 distance of the two orders, and compares its original vector with the best ranked.
+
+Orders tell angles, and the largest inner products are those of the smallest angles only
+among vectors of one length. So index vectors get a component that brings all to the length
+of the longest, and queries a zero there, which leaves inner products as they are. No inner
+product exceeds the product of the two lengths; every row that could still beat the last of
+the best found is compared as well, so the result is exact. Where all lengths are alike
+that is each row.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ NEAREST = 64
 SHARE = 0.2
 BLOCK = 8192
 QUERIES = 1024
+ROUNDING = 1e-9  # by which computed lengths are raised, so that a bound is never too small
 
 
 def orders(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
@@ -34,6 +42,12 @@ def orders(vectors: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     return np.argsort(-((vectors / length) @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int16)
 
 
+def levelled(vectors: np.ndarray, square: float) -> np.ndarray:
+    """The vectors with one more component, so that each has this squared length, the largest of all."""
+    lacking = np.sqrt(np.maximum(square - (vectors * vectors).sum(1, keepdims=True), 0))
+    return np.hstack([vectors, lacking])
+
+
 class InvertedFiles:
     """One file a pivot: the rows of a block that have it among their nearest, and where."""
 
@@ -58,22 +72,33 @@ class InvertedFiles:
         return distance
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, nearest: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of each query's `k` best in a block among the best ranked `share`.
+def search_block(ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, nearest: int, share: float, square: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's `k` best in a block.
 
-    At least ten times `k` are compared. Ties in rank and in score go to the smaller id.
+    The best ranked `share`, ten times `k` at least, are compared first, then the rows long
+    enough for the score of the k-th. `square` is the largest squared length of the index. Ties in rank and in score go to the smaller id.
     """
     by_id = np.argsort(ids, kind="stable")
     ids, vectors = ids[by_id], vectors[by_id]
-    files = InvertedFiles(orders(vectors, pivots, nearest), len(pivots))
+    files = InvertedFiles(orders(levelled(vectors, square), pivots, nearest), len(pivots))
+    flat = np.hstack([queries, np.zeros((len(queries), 1))])
+    reach = np.sqrt((vectors * vectors).sum(1)) * (1 + ROUNDING)
     most = min(len(ids), max(10 * k, int(np.ceil(share * len(ids)))))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for query, own, order in zip(queries, query_ids.tolist(), orders(queries, pivots, nearest), strict=True):
+    for query, own, order in zip(queries, query_ids.tolist(), orders(flat, pivots, nearest), strict=True):
         rank = files.footrule(order).astype(np.int64) * len(ids) + np.arange(len(ids))
         rank[ids == own] = np.iinfo(np.int64).max
         best = np.argpartition(rank, most - 1)[:most]
         best = np.sort(best[ids[best] != own])
         score = np.einsum("ij,j->i", vectors[best], query)
+        if len(best) >= k:
+            kth = np.partition(score, len(score) - k)[len(score) - k]
+            rest = reach * np.sqrt(query @ query) >= kth
+            rest[best] = False
+            rest &= ids != own
+            more = np.flatnonzero(rest)
+            best = np.concatenate([best, more])
+            score = np.concatenate([score, np.einsum("ij,j->i", vectors[more], query)])
         top = np.lexsort((ids[best], -score))[:k]
         out.append((np.full(len(top), own), ids[best][top], score[top]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
@@ -126,7 +151,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
         return rows.groupBy("id").agg(F.max("vector").alias("vector"))
 
     base = settle(clean(vectors), "vectors")
-    sizes = base.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    sizes = base.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("count"), F.max(square).alias("square")).orderBy(F.desc("count"), "n").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -134,6 +160,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
     base = base.where(F.size("vector") == width)
     chosen = base.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").toArrow()
     centres = np.array(chosen.column("vector").to_pylist(), dtype=np.float64)
+    longest = sizes["square"]
+    centres = levelled(centres, longest)
     centres = centres / np.sqrt((centres * centres).sum(1, keepdims=True))
     reach = min(nearest, len(centres))
     asked = clean(queries).where(F.size("vector") == width)
@@ -156,7 +184,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
                 if kind == 0:
                     key, held = (i, q), (ids, rows)
                 elif key == (i, q):
-                    found = search_block(ids, rows, centres, *held, k, reach, share)
+                    found = search_block(ids, rows, centres, *held, k, reach, share, longest)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     hits = met.mapInArrow(run, T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]))
