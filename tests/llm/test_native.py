@@ -97,6 +97,26 @@ def test_recurring_templates_go_and_prose_stays(documents):
     assert sum(len(t) for t in got.values()) > 0.5 * sum(len(t) for _, t in rows)
 
 
+def test_a_text_of_many_forms_counts_once_for_its_template(documents):
+    words = [a + b for a in "abcdefgh" for b in "klmno"]
+    rows = [
+        # the tokens behind the path stand in the first text alone
+        (1, "\n".join(f"job alpha ran step {w} ok then done" for w in words)),
+        (2, "job alpha ran step zeta fine and gone"),
+        (3, "job alpha ran step theta not so far"),
+        # the tokens behind the path stand in three texts each, their template in the first alone
+        (4, "\n".join(f"disk beta held block good today {w}" for w in words)),
+        *((5 + k, f"disk beta held block good {w} {w}") for k, w in enumerate(["red", "blue"])),
+        *((7 + k, f"disk beta held block {w} today {w}") for k, w in enumerate(["pink", "grey"])),
+    ]
+    footers = [(20 + k, "\n".join(f"seen by gamma house for {w}" for w in words[2 * k : 2 * k + 2])) for k in range(3)]
+    df = line_templates.drop_templates(documents(rows + footers))
+    python_free(df)
+    got = {r["doc_id"]: r["text"] for r in df.collect()}
+    assert got == {i: t for i, t in rows} | {i: "" for i, _ in footers}
+    assert {r["doc_id"]: r["text"] for r in line_templates.drop_templates(documents(rows + footers[:2])).collect()} == dict(rows + footers[:2])
+
+
 def test_line_templates_of_odd_rows(documents, odd_rows):
     names = ["doc_id", "n_lines", "n_kept", "kept_sha256"]
     assert rows_of(line_templates.report(documents(odd_rows)), names) == twin_named(odd_rows, line_templates.report_sql(), names)

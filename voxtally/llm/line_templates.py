@@ -45,6 +45,18 @@ def _lines(docs: DataFrame, text_col: str, leading: int) -> DataFrame:
     return rows.withColumn("n", token_count(F.col("line"))).withColumn("lead", masked(F.substring_index("line", " ", leading)))
 
 
+def _at_least(need: int, forms: DataFrame, several: DataFrame, by: list[str]) -> DataFrame:
+    """The groups `by` that hold forms of `need` different texts.
+
+    `forms` has each form's number of texts, `several` a row (with its text's key) for each
+    form of a text that has more than one on its path. What such a text has too many in a
+    group is taken off the group's sum.
+    """
+    sums = forms.groupBy(*by).agg(F.sum("texts").alias("texts")).where(F.col("texts") >= need)
+    over = several.groupBy(*by, "key").agg((F.count("*") - 1).alias("over")).where("over > 0").groupBy(*by).agg(F.sum("over").alias("over"))
+    return sums.join(over, by, "left").where(F.col("texts") - F.coalesce("over", F.lit(0)) >= need).select(*by)
+
+
 def dropped_lines(docs: DataFrame, text_col: str = "text", share: float = SHARE, least: int = LEAST, leading: int = LEADING, fixed: float = FIXED) -> DataFrame:
     """(key, places): the numbers of the lines to drop from the texts of that md5."""
     lines = _lines(docs, text_col, leading)
@@ -57,8 +69,11 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", share: float = SHARE,
     # the leading tokens are fixed, as their path recurs; only those behind them are counted
     behind = F.slice(F.split("line", " "), leading + 1, F.greatest(F.col("n") - leading, F.lit(1)))
     tokens = settle(forms.select("n", "lead", "line", "texts", F.posexplode(behind).alias("place", "token")), "tokens")
-    common = tokens.groupBy("n", "lead", "place", "token").agg(F.sum("texts").alias("held")).where(F.col("held") >= need)
-    common = common.select("n", "lead", "place", "token", F.lit(True).alias("fixed"))
+    # a text counts once for a token or template; the sum over forms counts a text with several once for each
+    many = held.groupBy("n", "lead", "key").agg(F.min("line").alias("first"), F.max("line").alias("last")).where("first < last").select("n", "lead", "key")
+    several = settle(held.join(many, ["n", "lead", "key"], "leftsemi").select("n", "lead", "line", "key").distinct(), "several")
+    common = _at_least(need, tokens, several.select("n", "lead", "key", F.posexplode(behind).alias("place", "token")), ["n", "lead", "place", "token"])
+    common = common.withColumn("fixed", F.lit(True))
     marked = tokens.join(F.broadcast(common), ["n", "lead", "place", "token"], "left")
     word = F.when(F.col("fixed"), F.col("token")).otherwise(F.lit(FIELD))
     in_order = F.array_sort(F.collect_list(F.struct("place", word.alias("word"))))
@@ -67,8 +82,9 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", share: float = SHARE,
     shapes = forms.join(rest, ["n", "lead", "line"], "left").withColumn("words", words)
     shapes = shapes.select("n", "lead", "line", "texts", F.concat_ws(" ", "words").alias("template"), F.size(F.filter("words", lambda w: w != FIELD)).alias("kept"))
     shapes = settle(shapes, "shapes")
-    recurring = shapes.where(F.col("kept") >= fixed * F.col("n")).groupBy("n", "lead", "template").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= need).select("n", "lead", "template")
-    gone = shapes.where(F.col("kept") >= fixed * F.col("n")).join(recurring, ["n", "lead", "template"]).select("n", "lead", "line")
+    firm = shapes.where(F.col("kept") >= fixed * F.col("n"))
+    recurring = _at_least(need, firm, several.join(firm.select("n", "lead", "line", "template"), ["n", "lead", "line"]), ["n", "lead", "template"])
+    gone = firm.join(recurring, ["n", "lead", "template"]).select("n", "lead", "line")
     return held.join(gone, ["n", "lead", "line"]).groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("places"))
 
 
