@@ -285,7 +285,7 @@ def network_edges(spark, sf):
 @query("network_graphml")
 def network_graphml(spark, sf):
     m = _matrix(spark, sf)
-    nodes, edges = N.network(m, 0, SEED)
+    nodes, edges = N.network(m, N_BOOT, SEED)
     return N.graphml_lines(nodes, rounded(edges))
 
 
@@ -442,7 +442,9 @@ def svd_small(spark, sf):
     return rounded(keep.join(left, "lv"), 5)
 
 
-N_PERM = N_BOOT_PLS = 200
+# The operators' own defaults.
+N_PERM = N_BOOT_PLS = 1000
+N_SPLIT = 100
 
 
 def _pls(spark, sf, **options):
@@ -477,7 +479,7 @@ def pls_scores(spark, sf):
 
 @query("pls_split_half")
 def pls_split_half(spark, sf):
-    result = L.meancentered_pls(_matrix(spark, sf), n_perm=20, n_boot=0, n_split=10, seed=SEED)
+    result = L.meancentered_pls(_matrix(spark, sf), n_perm=N_PERM, n_boot=0, n_split=N_SPLIT, seed=SEED)
     return rounded(result["split"], 5)
 
 
@@ -485,7 +487,7 @@ def pls_split_half(spark, sf):
 def behavioral_pls(spark, sf):
     m, rows = _behaviour_rows(spark, sf)
     result = L.behavioral_pls(
-        rows, m.sizes, m.features, ["balance", "slices"], m.groups, n_perm=50, n_boot=100, test_split=None, seed=SEED)
+        rows, m.sizes, m.features, ["balance", "slices"], m.groups, n_perm=N_PERM, n_boot=N_BOOT_PLS, test_split=None, seed=SEED)
     return rounded(result["weights"], 5)
 
 
@@ -493,7 +495,7 @@ def behavioral_pls(spark, sf):
 def behavioral_loadings(spark, sf):
     m, rows = _behaviour_rows(spark, sf)
     result = L.behavioral_pls(
-        rows, m.sizes, m.features, ["balance", "slices"], m.groups, n_perm=0, n_boot=100, test_split=None, seed=SEED)
+        rows, m.sizes, m.features, ["balance", "slices"], m.groups, n_perm=0, n_boot=N_BOOT_PLS, test_split=None, seed=SEED)
     return rounded(result["y_loadings"], 5)
 
 
@@ -501,7 +503,7 @@ def behavioral_loadings(spark, sf):
 def cross_validate(spark, sf):
     m, rows = _behaviour_rows(spark, sf)
     blocks = RS.make_blocks(rows, m.sizes)
-    return rounded(L.cross_validate(blocks, m.sizes, len(m.features), 2, False, 20, 0.25, SEED, ["balance", "slices"]), 5)
+    return rounded(L.cross_validate(blocks, m.sizes, len(m.features), 2, False, N_SPLIT, 0.25, SEED, ["balance", "slices"]), 5)
 
 
 @query("simpls_scores")
@@ -519,7 +521,7 @@ def simpls_mse(spark, sf):
 @query("pls_regression")
 def pls_regression(spark, sf):
     m, rows = _behaviour_rows(spark, sf)
-    result = L.pls_regression(rows, m.features, ["balance", "slices"], 2, n_perm=20, n_boot=50, seed=SEED)
+    result = L.pls_regression(rows, m.features, ["balance", "slices"], 2, n_perm=N_PERM, n_boot=N_BOOT_PLS, seed=SEED)
     return rounded(result["weights"], 6)
 
 
