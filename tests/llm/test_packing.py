@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -14,7 +15,6 @@ from voxtally.llm import packing
 def test_pieces_are_the_tokenizers_ids_and_fill_sequences(documents, odd_rows):
     got = packing.pack_documents(documents(odd_rows)).toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     for doc_id, text in dict((r for r in odd_rows if r[0])).items():
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
         mine = got[got.doc_id == doc_id]
@@ -41,6 +41,54 @@ def test_added_tokens_in_a_text_have_their_own_id(documents):
     assert packing.encode_text(f"a {end} b", packing.vocabulary_path()) == [64, 220, 50256, 275]
 
 
+def test_long_runs_of_white_space_have_the_tokenizers_ids():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = packing.vocabulary_path()
+    blanks = [" ", "\n", "\t", "\r\n", " \n", "\u3000", "\u2028 ", "\xa0", "\x1c", "\x85", "\u200b"]
+    for blank in blanks:
+        for n in (999, 1000, 1001, 1777):
+            run = blank * n
+            for text in (run, f"a{run}", f"{run}b", f"a{run}b", f"a {run}'s 7{run}?{run}", f"x{run}<|endoftext|>{run}y"):
+                assert packing.encode_text(text, path) == tokenizer.encode(text, add_special_tokens=False).ids, (blank, n)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "w" * 2_000_000, "7!" * 500_000, "a " + " \n" * 1_000_000 + " b"])
+def test_very_long_texts_have_the_tokenizers_ids(documents, text):
+    ids = np.array([*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+    got = packing.pack_documents(documents([(1, text), (2, "short")])).toPandas()
+    mine = got[got.doc_id == 1].sort_values("piece")
+    assert list(zip(mine.start, mine.length, strict=True)) == packing.cut(len(ids), packing.SIZE)
+    assert mine.ids_crc32.tolist() == [zlib.crc32(ids[a : a + n].tobytes()) for a, n in packing.cut(len(ids), packing.SIZE)]
+
+
+def fewest(lengths, size):
+    """The fewest sequences of whole pieces, by trying every place for each piece."""
+    best = len(lengths)
+
+    def put(at, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if at == len(lengths):
+            best = len(rooms)
+            return
+        for k in sorted({r: k for k, r in enumerate(rooms) if r >= lengths[at]}.values()):
+            put(at + 1, [*rooms[:k], rooms[k] - lengths[at], *rooms[k + 1 :]])
+        put(at + 1, [*rooms, size - lengths[at]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=9))
+def test_packing_is_near_the_fewest_sequences(lengths):
+    lengths = sorted(lengths, reverse=True)
+    values, counts = np.unique(lengths, return_counts=True)
+    plan = packing.best_two_fit(dict(zip(values.tolist(), counts.tolist(), strict=True)), 12)
+    assert fewest(lengths, 12) <= plan.sequences <= fewest(lengths, 12) + 1
+
+
 def test_only_long_documents_are_cut():
     assert packing.cut(5, 4) == [(0, 1), (1, 4)]
     assert packing.cut(8, 4) == [(0, 4), (4, 4)]

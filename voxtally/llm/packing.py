@@ -28,6 +28,8 @@ from voxtally.llm.common import settle
 SIZE = 2048
 CELL_ROWS = 50_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
+# Runs of Unicode's White_Space long enough to be encoded on their own.
+LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -60,6 +62,25 @@ def added_tokens(path: str) -> tuple[re.Pattern[str] | None, dict[str, int]]:
     return re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if ids else None, ids
 
 
+def plain_ids(text: str, bpe) -> list[int]:
+    """The ids of a text without added tokens.
+
+    The vocabulary's pattern takes a run of white space without its last character as one
+    part, or the whole run at the end of a text, and no part crosses its ends. The pattern's
+    own search goes back over a run once for every character, deeper than a stack allows in
+    a very long one; so long runs are cut out and encoded as the parts they are.
+    """
+    out: list[int] = []
+    done = 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out.extend(bpe.encode_ordinary(text[done : run.start()]))
+        out.extend(bpe._core_bpe.encode_single_piece(text[run.start() : end].encode()))
+        done = end
+    out.extend(bpe.encode_ordinary(text[done:] if done else text))
+    return out
+
+
 def encode_text(text: str, path: str) -> list[int]:
     """The ids of a text by the rank file at `path` and the added tokens of the `tokenizers` file beside it.
 
@@ -68,10 +89,10 @@ def encode_text(text: str, path: str) -> list[int]:
     bpe = encoder(path)
     pattern, added = added_tokens(str(Path(path).with_suffix(".json")))
     if pattern is None or not pattern.search(text):
-        return bpe.encode_ordinary(text)
+        return plain_ids(text, bpe)
     out: list[int] = []
     for k, part in enumerate(pattern.split(text)):
-        out.extend([added[part]] if k % 2 else bpe.encode_ordinary(part))
+        out.extend([added[part]] if k % 2 else plain_ids(part, bpe))
     return out
 
 
@@ -205,25 +226,33 @@ def place(length: np.ndarray, rank: np.ndarray, plan: Plan) -> tuple[np.ndarray,
     return plan.sequence[at] + step // plan.per[at], plan.offset[at] + step % plan.per[at] * length
 
 
+def ranked(pieces: DataFrame, counts: dict[int, int], order: list[str], name: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """`pieces`, a stored table, with each row's rank from 0 among the rows of its `length`, counted in `counts`.
+
+    Ranks are counted in salted cells of about `cell_rows` rows, so a length that many pieces
+    share is not one task. Rows alike in `order` are alike and may trade ranks.
+    """
+    salts = max(16, -(-max(counts.values(), default=0) // cell_rows))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    cells = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select("length", "__salt", F.coalesce(before, F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1
+    joined = salted.withColumn("__inner", inner).join(cells, ["length", "__salt"])
+    return joined.select(*pieces.columns, (F.col("__before") + F.col("__inner")).cast("long").alias(name))
+
+
 def pack(pieces: DataFrame, size: int = SIZE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """`pieces`, a stored table with a `length` from 1 to `size`, with `sequence_id` and `offset`.
 
-    Rows of equal length are interchangeable; ranks among them are counted in salted cells
-    of about `cell_rows` rows, so a length that many pieces share is not one task. An empty
+    Rows of equal length are interchangeable, and find their place by their rank. An empty
     table stays empty. Columns of the input are kept; one of the two new names is replaced.
     """
     pieces = pieces.drop("sequence_id", "offset")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_two_fit(histogram, size)
-    salts = max(16, -(-max(histogram.values(), default=0) // cell_rows))
     order = [c for c in pieces.columns if c != "length"]
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    cells = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.select("length", "__salt", F.coalesce(before, F.lit(0)).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1
-    ranked = salted.withColumn("__inner", inner).join(cells, ["length", "__salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("__before") + F.col("__inner")).cast("long").alias("__rank"))
+    places = ranked(pieces, histogram, order, "__rank", cell_rows)
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     at = pieces.columns.index("length")
 
@@ -232,7 +261,7 @@ def pack(pieces: DataFrame, size: int = SIZE, cell_rows: int = CELL_ROWS) -> Dat
             sequence, offset = place(batch.column(at).to_numpy(zero_copy_only=False), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False), plan)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=schema.names)
 
-    return ranked.mapInArrow(assign, schema)
+    return places.mapInArrow(assign, schema)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, path: str | None = None) -> DataFrame:

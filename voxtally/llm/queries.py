@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import fingerprint, licences, line_templates, near_dedup, neighbours, packing, sentence_pieces, sharding, substrings, toxicity
+from voxtally.llm import cutting_stock, fingerprint, licences, line_templates, near_dedup, neighbours, packing, prefix_trie, sentence_pieces, sharding, substrings, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,21 @@ def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the lines of recurring templates."""
     return line_templates.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened coordinates on the 16 leading principal components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_conversation_prefix_trie", prefix_trie.trie_sql())
+def conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations whose first turns are those of their group's first."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_cutting_stock_packing")
+def cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 ids that need no padding."""
+    return cutting_stock.pack_documents(table(spark, sf_dir, "documents"))
