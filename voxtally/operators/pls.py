@@ -326,28 +326,21 @@ def meancentered_pls(
     lvs = len(d)
     arrays = {"cross": base, "u": u, "d": d, "v": v}
 
-    thresholds = pvalues = None
+    ids = thresholds = pvalues = None
     if n_perm > 0:
-
-        def permute(n: int) -> DataFrame:
-            nonlocal thresholds
-            thresholds = RS.threshold_array(RS.permutation_cuts(blocks, n, seed), (n, groups - 1), ["resample"])
-            return RS.permutation_sums(blocks, n, seed, thresholds, n_cond)
-
-        sums, accepted = RS.drawn_until(n_perm, permute, lambda s: RS.accepted_permutations(s, matrix.sizes, n_moments, n_perm))
+        ids, thresholds = RS.permutation_ids(blocks, n_perm, seed, n_cond)
 
         def one_permutation(pdf: pd.DataFrame) -> pd.DataFrame:
-            _, dp, vp = decompose(cross(dense(pdf, groups, n_moments + 1)))
+            _, dp, vp = decompose(cross(dense(pdf, groups, n_moments)))
             size = np.sqrt((align(v, vp, dp) ** 2).sum(axis=0)) if rotate else dp
             return pd.DataFrame({"resample": pdf["resample"].iloc[0], "lv": np.arange(lvs) + 1, "v": size})
 
-        permuted = sums.join(accepted, "resample", "left_semi").groupBy("resample").applyInPandas(
+        permuted = RS.permutation_sums(blocks, ids, seed, thresholds, n_cond).groupBy("resample").applyInPandas(
             one_permutation, "resample int, lv int, v double"
         )
         original = frame(spark, [(l + 1, float(d[l])) for l in range(lvs)], "lv int, v double")
         pvalues = permutation_pvalue(permuted, original)
 
-    names = F.array(*[F.lit(f) for f in matrix.features])
     cell_labels = [(g, c) for g in matrix.groups for c in range(n_cond)]
     scaled = [(f, l + 1, float(u[f, l] * d[l])) for f in range(width) for l in range(lvs)]
     original_u = frame(spark, scaled, "feature int, lv int, v double")
@@ -362,7 +355,7 @@ def meancentered_pls(
         "feature int, acronym string, lv int, weight double",
     )
     if n_boot > 0:
-        boot, kept = RS.drawn_until(
+        boot, kept, _ = RS.drawn_until(
             n_boot, lambda n: RS.bootstrap_sums(blocks, n, seed), lambda s: RS.accepted_bootstraps(s, matrix.sizes, n_moments, n_boot)
         )
         unit_u = unit_columns(u)
@@ -411,9 +404,7 @@ def meancentered_pls(
         "x_scores": _scores(blocks, u, n_cond, width),
     }
     if n_split:
-        tables["split"] = _split_half(
-            blocks, matrix.sizes, n_cond, cross, u, d, v, n_perm, n_split, thresholds, seed, ci
-        )
+        tables["split"] = _split_half(blocks, n_cond, cross, u, d, v, ids, thresholds, n_split, seed, ci)
     return PLSResult(tables, arrays)
 
 
@@ -429,77 +420,66 @@ def _scores(blocks: Blocks, u: np.ndarray, n_cond: int, width: int) -> DataFrame
 
 
 def _split_half(
-    blocks: Blocks, sizes, n_cond: int, cross: Callable, u, d, v, n_perm: int, n_split: int,
-    thresholds: np.ndarray | None, seed: int, ci: float,
+    blocks: Blocks, n_cond: int, cross: Callable, u, d, v, ids: np.ndarray | None, thresholds: np.ndarray | None,
+    n_split: int, seed: int, ci: float,
 ) -> DataFrame:
-    """Mean correlation of the projected halves per lv, with permutation p-value and interval.
+    """Split halves of the data (family 0) and of the permutations ``ids`` (families 1, ...), stratified by
+    the permuted groups."""
+    n = 1 + (0 if ids is None else len(ids))
+    permuted = None if ids is None else RS.assignment(blocks, seed, thresholds, n_cond)
 
-    Resample 0 is the unpermuted data, 1.. are permutations.  The halves are stratified by
-    the (permuted) group with exact sizes."""
-    groups, n = len(sizes), n_perm + 1
-    width = u.shape[0]
-    n_moments = 1 + n_cond * width
-    base = blocks.rows.select("sid", "group")
-    own = base.select(F.lit(0).alias("perm"), "sid", "group")
-    if n_perm:
-        permuted = RS.permuted_groups(blocks, n_perm, seed).select(
-            (F.col("resample") + 1).alias("perm"), "sid", F.col("new_group").alias("group")
-        )
-        own = own.unionByName(permuted)
-    cuts = RS.split_cuts(own, n, sizes, n_split, seed, 0.5)
-    halves = RS.threshold_array(cuts, (n, n_split, groups, 1), ["perm", "split", "group"])[..., 0]
-    code, chunks = RS.stream(seed, RS.PERMUTATION_STREAM), blocks.chunks()
-    split_code = RS.stream(seed, RS.SPLIT_STREAM)
-
-    def one_block(key, left: pd.DataFrame) -> pd.DataFrame:
-        group, _, chunk = (int(x) for x in key)
+    def at(family: int, sid: np.ndarray, group: int) -> np.ndarray:
+        return np.full(len(sid), group) if not family else permuted(ids[[family - 1]], sid)[0][0]
+
+    def moments(left: pd.DataFrame) -> Callable[[int], np.ndarray]:
         sid, z = RS._stack(left)
-        frames = []
-        for p in np.arange(n)[chunk::chunks]:
-            if p == 0:
-                new, zp = np.full(len(sid), group), z
-            else:
-                new = RS.permuted_cells(code, np.array([p - 1]), sid, thresholds)[0]
-                zp = RS.shuffle_conditions(seed, int(p - 1), sid, z, n_cond)
-            drawn = D.draw62(split_code, p * n_split + np.arange(n_split)[:, None], sid[None, :])
-            first = drawn <= halves[p][:, new]
-            full = RS.products(zp, RS.NO_PAIRS)
-            for g in range(groups):
-                inside = (new == g)[None, :]
-                for h, mask in ((0, inside & first), (1, inside & ~first)):
-                    frames.append(
-                        RS._long(p * n_split + np.arange(n_split), g * 2 + h, mask.astype(float) @ full)
-                    )
-        return pd.concat(frames)
-
-    rows = RS.fan_out(blocks.rows, chunks, "chunk").groupBy("group", "block", "chunk")
-    sums = RS._sum_cells(rows.applyInPandas(one_block, RS.SUMS_SCHEMA)).withColumn(
-        "perm", F.floor(F.col("resample") / n_split).cast("int")
-    )
+
+        def numbers(family: int) -> np.ndarray:
+            order = permuted(ids[[family - 1]], sid)[1] if family else None
+            return RS.products(z if order is None else RS.in_order(z, order[0], n_cond), RS.NO_PAIRS)
+
+        return numbers
+
+    sums = RS.half_sums(blocks, blocks.rows.select("sid", "group", "block", "x"), n, n_split, seed, at, moments)
+    return _half_correlations(sums, cross, u, d, v, len(blocks.sizes), n_split, ci)
+
+
+def _half_correlations(sums: DataFrame, cross: Callable, u, d, v, groups: int, n_split: int, ci: float) -> DataFrame:
+    """Mean correlation of the projected halves per lv, with permutation p-value and interval.
+
+    Each permutation's halves are projected on its own decomposition."""
     inv = safe_inverse(d)
+    lvs = len(d)
 
-    def one_perm(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = int(pdf["perm"].iloc[0])
-        split = pdf["resample"].to_numpy() - p * n_split
-        m = np.zeros((n_split, groups * 2, n_moments))
-        m[split, pdf["cell"].to_numpy(), pdf["k"].to_numpy()] = pdf["v"].to_numpy()
-        if p == 0:
+    def one_slab(pdf: pd.DataFrame) -> pd.DataFrame:
+        perm = int(pdf["perm"].iloc[0])
+        numbers = np.frombuffer(pdf["v"].iloc[0], dtype="<f8")
+        splits = min(RS.SLAB, n_split - int(pdf["slab"].iloc[0]) * RS.SLAB)
+        m = numbers.reshape(1 + splits, groups, -1)
+        if perm == 0:
             ud, vd = u * inv, v * inv
         else:
-            up, dp, vp = decompose(cross(m[0, 0::2] + m[0, 1::2]))
-            ip = safe_inverse(dp)
-            ud, vd = up * ip, vp * ip
+            up, dp, vp = decompose(cross(m[0]))
+            ud, vd = up * safe_inverse(dp), vp * safe_inverse(dp)
         uc, vc = [], []
-        for s in range(n_split):
-            d1, d2 = cross(m[s, 0::2]), cross(m[s, 1::2])
+        for first in m[1:]:
+            d1, d2 = cross(first), cross(m[0] - first)
             uc.append(column_correlation(d1.T @ vd, d2.T @ vd))
             vc.append(column_correlation(d1 @ ud, d2 @ ud))
+        uc, vc = np.array(uc), np.array(vc)
+        fine = ~np.isnan(uc), ~np.isnan(vc)
         return pd.DataFrame(
-            {"perm": p, "lv": np.arange(len(d)) + 1, "ucorr": np.nanmean(uc, axis=0), "vcorr": np.nanmean(vc, axis=0)}
+            {
+                "perm": perm, "lv": np.arange(lvs) + 1,
+                "us": np.nansum(uc, axis=0), "un": fine[0].sum(axis=0), "vs": np.nansum(vc, axis=0), "vn": fine[1].sum(axis=0),
+            }
         )
 
-    with np.errstate(all="ignore"):
-        corr = sums.groupBy("perm").applyInPandas(one_perm, "perm int, lv int, ucorr double, vcorr double").persist()
+    per_slab = sums.groupBy("perm", "slab").applyInPandas(one_slab, "perm int, lv int, us double, un long, vs double, vn long")
+    corr = per_slab.groupBy("perm", "lv").agg(
+        F.try_divide(F.sum("us"), F.sum("un").cast("double")).alias("ucorr"),
+        F.try_divide(F.sum("vs"), F.sum("vn").cast("double")).alias("vcorr"),
+    ).persist()
     out = corr.filter("perm = 0").select("lv", "ucorr", "vcorr")
     for side in ("ucorr", "vcorr"):
         draws = corr.filter("perm > 0").select(F.col("perm").alias("resample"), "lv", F.col(side).alias("v"))
@@ -511,41 +491,6 @@ def _split_half(
 
 
 # ------------------------------------------------------------------ behavioural PLS
-def paired_sums(blocks: Blocks, n: int, seed: int, n_x: int, pairs, groups_by: str = "group") -> DataFrame:
-    """Moments per group after permuting the y part of ``x = [x | y]`` against its x part.
-
-    Permuted rows must meet, so this is the one resampler that shuffles samples x permutations."""
-    width = None
-    ranked = RS.with_rank(
-        RS.permutation_draws(blocks, n, seed), ["resample"], F.col("draw"), [F.col("draw")], name="to"
-    ).withColumn("to", F.col("to") - 1)
-    source = blocks.rows.select("sid", F.slice("x", n_x + 1, F.size("x")).alias("y"))
-    target = blocks.rows.select(F.col("sid").alias("to"), "group", F.slice("x", 1, n_x).alias("x"))
-    moved = ranked.select("resample", "sid", "to").join(source, "sid").join(target, "to").select(
-        "resample", "group", F.concat("x", "y").alias("x"),
-        (F.col("sid") == F.col("to")).alias("fixed"),
-    )
-
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, int], np.ndarray] = {}
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            z = np.array(pdf["x"].tolist(), dtype=float)
-            m = RS.products(z, pairs)
-            resample, cell = pdf["resample"].to_numpy(), pdf["group"].to_numpy()
-            order = np.lexsort((cell, resample))
-            resample, cell = resample[order], cell[order]
-            starts = np.flatnonzero(np.r_[True, (np.diff(resample) != 0) | (np.diff(cell) != 0)])
-            for at, total in zip(starts, np.add.reduceat(m[order], starts, axis=0)):
-                k = int(resample[at]), int(cell[at])
-                held[k] = held[k] + total if k in held else total
-        for (r, g), total in held.items():
-            yield RS._long(np.array([r]), g, total[None, :])
-
-    return RS._sum_cells(moved.mapInPandas(partial, RS.SUMS_SCHEMA))
-
-
 def behavioral_pls(
     rows: DataFrame,
     sizes: Sequence[int],
@@ -563,7 +508,11 @@ def behavioral_pls(
     seed: int = 0,
     block_size: int = RS.BLOCK_SIZE,
 ) -> PLSResult:
-    """Cross-correlation PLS of ``rows(animal_id, group, x = [features | behaviours])``."""
+    """Cross-correlation PLS of ``rows(animal_id, group, x = [features | behaviours])``.
+
+    Ratios and loading intervals come from one set of bootstraps: the candidates that pass the rules
+    are drawn again over the scores.  With ``n_split`` the table split has p-values and intervals over
+    the permutations."""
     spark = rows.sparkSession
     n_x, n_y, n_g = len(features), len(behaviours), len(groups)
     blocks = RS.make_blocks(rows, sizes, block_size)
@@ -578,12 +527,13 @@ def behavioral_pls(
     u, d, v = decompose(base)
     lvs = len(d)
     row_labels = [(g, b) for g in groups for b in behaviours]
-    pvalues = None
+    pvalues = paired = None
     if n_perm > 0:
-        sums = paired_sums(blocks, n_perm, seed, n_x, pairs)
+        paired = RS.with_permuted(blocks, n_perm, seed, n_x).persist()
+        sums, of_y = RS.paired_sums(blocks, paired, n_perm, n_x, pairs)
 
         def one_permutation(pdf: pd.DataFrame) -> pd.DataFrame:
-            _, dp, vp = decompose(cross(dense(pdf, n_g, width)))
+            _, dp, vp = decompose(cross(RS.moments_with(observed, dense(pdf, n_g, n_y + len(of_y)), n_x, of_y)))
             size = np.sqrt((align(v, vp, dp) ** 2).sum(axis=0)) if rotate else dp
             return pd.DataFrame({"resample": pdf["resample"].iloc[0], "lv": np.arange(lvs) + 1, "v": size})
 
@@ -608,7 +558,7 @@ def behavioral_pls(
         "cell int, condition string, behaviour string, lv int, loading double",
     )
     if n_boot > 0:
-        boot, kept = RS.drawn_until(
+        boot, kept, candidates = RS.drawn_until(
             n_boot, lambda n: RS.bootstrap_sums(blocks, n, seed, pairs), lambda s: RS.accepted_bootstraps(s, sizes, width, n_boot)
         )
 
@@ -632,7 +582,7 @@ def behavioral_pls(
             return pd.DataFrame({"cell": i.ravel(), "lv": l.ravel() + 1, "v": m.ravel()})
 
         load_draws = (
-            RS.bootstrap_sums(scored, n, seed, load_pairs).join(kept, "resample", "left_semi")
+            RS.bootstrap_sums(scored, candidates, seed, load_pairs).join(kept, "resample", "left_semi")
             .groupBy("resample").applyInPandas(one_loading, "cell int, lv int, v double")
         )
         loading_table = loading_table.join(bootstrap_interval(load_draws, ["cell", "lv"], ci), ["cell", "lv"])
@@ -649,7 +599,7 @@ def behavioral_pls(
     if test_split and test_size > 0:
         tables["crossval"] = cross_validate(blocks, sizes, n_x, n_y, covariance, test_split, test_size, seed, behaviours)
     if n_split:
-        tables["split"] = _behaviour_split_half(blocks, sizes, n_x, n_y, covariance, u, d, v, n_split, seed)
+        tables["split"] = _behaviour_split_half(blocks, paired, cross, u, d, v, n_x, pairs, n_perm, n_split, seed, ci)
     return PLSResult(tables, {"cross": base, "u": u, "d": d, "v": v, "y_loadings": load})
 
 
@@ -698,25 +648,20 @@ def _split_sums(blocks: Blocks, mask: Callable, n_split: int, pairs) -> DataFram
     return RS._sum_cells(blocks.rows.groupBy("group", "block").applyInPandas(one, RS.SUMS_SCHEMA))
 
 
-def _behaviour_split_half(blocks, sizes, n_x, n_y, covariance, u, d, v, n_split, seed) -> DataFrame:
-    pairs = xcorr_indices(n_x, n_y)
-    width, n_g = 1 + n_x + n_y + len(pairs[0]), len(sizes)
-    sums = _split_sums(blocks, _split_masks(blocks, sizes, n_split, seed, 0.5), n_split, pairs)
-    ud, vd = u * safe_inverse(d), v * safe_inverse(d)
+def _behaviour_split_half(blocks, paired, cross, u, d, v, n_x, pairs, n_perm, n_split, seed, ci) -> DataFrame:
+    """Split halves of the data and of each paired permutation, stratified by group."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = dense(pdf, n_g * 2, width)
-        d1, d2 = (np.vstack([cross_from_moments(r, n_x, n_y, covariance) for r in m[part::2]]) for part in (0, 1))
-        return pd.DataFrame(
-            {
-                "lv": np.arange(len(d)) + 1,
-                "ucorr": column_correlation(d1.T @ vd, d2.T @ vd),
-                "vcorr": column_correlation(d1 @ ud, d2 @ ud),
-            }
-        )
+    def at(family: int, sid: np.ndarray, group: int) -> np.ndarray:
+        return np.full(len(sid), group)
+
+    def moments(left: pd.DataFrame) -> Callable[[int], np.ndarray]:
+        z = np.array(left["x"].tolist(), dtype=float).reshape(len(left), -1)
+        py = np.array(left["py"].tolist(), dtype=float).reshape(len(left), n_perm, -1) if n_perm else None
+        return lambda family: RS.products(np.hstack([z[:, :n_x], py[:, family - 1]]) if family else z, pairs)
 
-    per_split = sums.groupBy("resample").applyInPandas(one, "lv int, ucorr double, vcorr double")
-    return per_split.groupBy("lv").agg(F.avg("ucorr").alias("ucorr"), F.avg("vcorr").alias("vcorr"))
+    rows = blocks.rows.withColumn("py", F.array().cast("array<double>")) if paired is None else paired
+    sums = RS.half_sums(blocks, rows.select("sid", "group", "block", "x", "py"), 1 + n_perm, n_split, seed, at, moments)
+    return _half_correlations(sums, cross, u, d, v, len(blocks.sizes), n_split, ci)
 
 
 def cross_validate(
@@ -893,16 +838,16 @@ def simpls(rows: DataFrame, features: Sequence[str], behaviours: Sequence[str],
         F.inline(F.array(*[F.struct(F.lit(c + 1).alias("component"), x.alias("x_score"), y.alias("y_score"))
                            for c, (x, y) in enumerate(zip(xs, ys))])),
     )
-    def residuals() -> DataFrame:
-        parts = []
-        for k, name in enumerate([*features, *behaviours]):
-            row = fit.x_loadings[k] if k < n_x else fit.y_loadings[k - n_x]
-            fitted = number(float(fit.mean[k]))
-            for c, t in enumerate(xs):
-                fitted = fitted + number(float(row[c])) * t
-            parts.append(F.struct(F.lit(name).alias("variable"), (F.get("x", F.lit(k)) - fitted).alias("residual")))
-        return blocks.rows.select("animal_id", F.inline(F.array(*parts)))
+    names, fitted_by = [*features, *behaviours], np.vstack([fit.x_loadings, fit.y_loadings])
+
+    def residuals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                z = np.array(pdf["x"].tolist(), dtype=float) - fit.mean
+                left = z - (z[:, :n_x] @ fit.x_weights) @ fitted_by.T
+                yield pd.DataFrame({"animal_id": np.repeat(pdf["animal_id"].to_numpy(), len(names)), "variable": names * len(pdf), "residual": left.ravel()})
 
+    id_type = rows.schema["animal_id"].dataType.simpleString()
     comp = range(n_components)
     tables = {
         "x_weights": frame(spark, [(features[f], c + 1, float(fit.x_weights[f, c])) for f in range(n_x) for c in comp], "acronym string, component int, weight double"),
@@ -912,7 +857,7 @@ def simpls(rows: DataFrame, features: Sequence[str], behaviours: Sequence[str],
         "pctvar": frame(spark, [(c + 1, float(fit.pctvar[0, c]), float(fit.pctvar[1, c])) for c in comp], "component int, x double, y double"),
         "mse": frame(spark, [(c, float(fit.mse[0, c]), float(fit.mse[1, c])) for c in range(n_components + 1)], "components int, x double, y double"),
         "scores": scores,
-        "residuals": residuals(),
+        "residuals": blocks.rows.select("animal_id", "x").mapInPandas(residuals, f"animal_id {id_type}, variable string, residual double"),
     }
     return PLSResult(tables, {"fit": fit})
 
@@ -975,10 +920,11 @@ def pls_regression(
     w, explained = fit.x_weights, fit.pctvar[1]
     pvalues = None
     if n_perm > 0:
-        sums = paired_sums(blocks, n_perm, seed, n_x, pairs)
+        sums, of_y = RS.paired_sums(blocks, RS.with_permuted(blocks, n_perm, seed, n_x), n_perm, n_x, pairs)
 
         def one_permutation(pdf: pd.DataFrame) -> pd.DataFrame:
-            share = fit_of(dense(pdf, 1, width)[0]).pctvar[1]  # sign flips leave it unchanged
+            m = RS.moments_with(observed[None], dense(pdf, 1, n_y + len(of_y)), n_x, of_y)
+            share = fit_of(m[0]).pctvar[1]  # sign flips leave it unchanged
             return pd.DataFrame({"resample": pdf["resample"].iloc[0], "lv": np.arange(n_components) + 1, "v": share})
 
         draws = sums.groupBy("resample").applyInPandas(one_permutation, "resample int, lv int, v double")
@@ -1000,7 +946,7 @@ def pls_regression(
         if depth > 1:
             code = RS.stream(seed, RS.CONDITION_STREAM)
             repeats = lambda r, z: condensed(z, D.draw62(code, np.array(r), np.arange(depth)) % depth)
-        boot, kept = RS.drawn_until(
+        boot, kept, _ = RS.drawn_until(
             n_boot, lambda count: RS.bootstrap_sums(raw if depth > 1 else blocks, count, seed, pairs, repeats),
             lambda s: RS.accepted_bootstraps(s, [n], width, n_boot),
         )

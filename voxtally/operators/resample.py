@@ -13,6 +13,7 @@ many of the group's slots fall in each block."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -28,10 +29,12 @@ from voxtally.operators.ordering import with_rank
 
 BLOCK_SIZE = 4096
 DRAW_BITS = 62
+ROUNDS = 4  # doublings of the candidates before rules are given up
+SLAB = 10  # splits that share a row of packed moments
 DRAW_BUDGET = 2_000_000  # draws held at once in a task
 SUMS_SCHEMA = "resample int, cell int, k int, v double"
 # Seeds of the independent draw streams of one analysis.
-BLOCK_STREAM, IN_BLOCK_STREAM, PERMUTATION_STREAM, CONDITION_STREAM, SPLIT_STREAM = 11, 12, 21, 22, 31
+BLOCK_STREAM, IN_BLOCK_STREAM, PERMUTATION_STREAM, CONDITION_STREAM, SPLIT_STREAM, HALF_STREAM = 11, 12, 21, 22, 31, 41
 
 
 def stream(seed: int, which: int) -> int:
@@ -98,6 +101,9 @@ def fan_out(df: DataFrame, n: int, name: str = "resample", first: int = 0) -> Da
     return df.withColumn(name, F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))))
 
 
+Assignment = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, "np.ndarray | None"]]
+
+
 # ------------------------------------------------------------------ draws as tables
 def cut_points(draws: DataFrame, keys: Sequence[str], cuts: DataFrame, bins: int = 256) -> DataFrame:
     """The draws at given ranks: (keys, cut, threshold) for ``cuts(keys, cut, rank)``.
@@ -177,46 +183,99 @@ def permutation_cuts(blocks: Blocks, n: int, seed: int, bins: int = 256) -> Data
     return places.join(ordered, ["resample", "bin", "local"]).select("resample", "cut", F.col("draw").alias("threshold"))
 
 
-def permuted_groups(blocks: Blocks, n: int, seed: int) -> DataFrame:
-    """(resample, sid, group, new_group): subjects shuffled across groups of unchanged size."""
-    thresholds = permutation_cuts(blocks, n, seed).groupBy("resample").agg(
-        F.array_sort(F.collect_list("threshold")).alias("_t")  # one number per group boundary
-    )
-    return (
-        permutation_draws(blocks, n, seed)
-        .join(thresholds, "resample")
-        .select(
-            "resample", "sid", "group",
-            F.size(F.filter("_t", lambda t: t < F.col("draw"))).alias("new_group"),
-        )
-    )
+def order_code(order: np.ndarray) -> np.ndarray:
+    """One number for each order of the conditions on the last axis."""
+    base = order.shape[-1]
+    return (order * base ** np.arange(base)).sum(axis=-1)
 
 
-def rejected_permutations(assigned: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """Resamples in which some group is mapped onto itself."""
-    size = F.array(*[F.lit(int(n)).cast("long") for n in sizes])
-    return (
-        assigned.filter(F.col("group") == F.col("new_group"))
-        .groupBy("resample", "group").agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") == F.get(size, F.col("group")))
-        .select("resample").distinct()
-    )
+def assignment(blocks: Blocks, seed: int, thresholds: np.ndarray, n_cond: int = 1) -> Assignment:
+    """What finds the new groups and the condition orders of candidates, in any task."""
+    code = stream(seed, PERMUTATION_STREAM)
+
+    def at(ids: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        new = permuted_cells(code, ids, sid, thresholds)
+        if n_cond == 1:
+            return new, None
+        return new, np.stack([permuted_conditions(seed, int(r), sid, n_cond) for r in ids])
+
+    return at
+
+
+def permutation_marks(blocks: Blocks, n: int, at: Assignment) -> DataFrame:
+    """(resample, same, a, b, c): whether a candidate maps a group onto itself, and its signature.
 
+    The signature sums numbers hashed from every subject with its group and conditions, so equal
+    sequences have equal signatures."""
+    sizes = blocks.sizes
+    groups = len(sizes)
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            sid, group = pdf["sid"].to_numpy(), pdf["group"].to_numpy()
+            step = max(1, DRAW_BUDGET // max(1, len(sid)))
+            for first in range(0, n, step):
+                ids = np.arange(first, min(n, first + step))
+                new, order = at(ids, sid)
+                what = new if order is None else new + groups * order_code(order)
+                words = [(D.draw62(101 + k, what, sid[None, :]) >> 42).sum(axis=1) for k in range(3)]
+                kept = [((new == group) & (group == g)).sum(axis=1) for g in range(groups)]
+                yield pd.DataFrame({"resample": ids, **{f"w{k}": w for k, w in enumerate(words)}, **{f"g{g}": v for g, v in enumerate(kept)}})
+
+    names = [f"w{k}" for k in range(3)] + [f"g{g}" for g in range(groups)]
+    counted = blocks.rows.select("sid", "group").mapInPandas(mark, "resample int, " + ", ".join(f"{c} long" for c in names))
+    summed = counted.groupBy("resample").agg(*[F.sum(c).alias(c) for c in names])
+    same = F.lit(False)
+    for g, size in enumerate(sizes if groups > 1 else []):
+        same = same | (F.col(f"g{g}") == size)
+    return summed.select("resample", same.alias("same"), F.col("w0").alias("a"), F.col("w1").alias("b"), F.col("w2").alias("c"))
+
+
+def permutation_ids(blocks: Blocks, n_perm: int, seed: int, n_cond: int = 1, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, thresholds) of the permutations to use, among candidates 0, 1, ...
+
+    A candidate that maps a group onto itself or repeats an earlier one is passed over, and more are
+    drawn while too few are left.  Where small groups have no more, those passed over are used after
+    all, with a warning.  What the driver sees is a row per candidate."""
+    groups = len(blocks.sizes)
+    count = n_perm + max(10, n_perm // 20)
+    for turn in range(rounds):
+        cuts = threshold_array(permutation_cuts(blocks, count, seed), (count, groups - 1), ["resample"])
+        if not n_perm or (groups == 1 and n_cond == 1):
+            return np.arange(n_perm), cuts
+        marks = permutation_marks(blocks, count, assignment(blocks, seed, cuts, n_cond)).toPandas().sort_values("resample")
+        passed = marks["same"].to_numpy(bool) | marks.duplicated(["a", "b", "c"]).to_numpy()
+        ids = marks["resample"].to_numpy()
+        if (~passed).sum() >= n_perm or turn == rounds - 1:
+            break
+        count *= 2
+    if (~passed).sum() < n_perm:
+        warnings.warn(f"only {(~passed).sum()} of {n_perm} permutations mix the groups and differ", stacklevel=2)
+    chosen = np.concatenate([ids[~passed], ids[passed]])[:n_perm]
+    return chosen, cuts
 
-def permutation_plan(blocks: Blocks, n_perm: int, seed: int) -> DataFrame:
-    """The accepted permutations, renumbered 0..n_perm-1: (perm, sid, group, new_group).
 
-    A candidate that maps a group onto itself is dropped, and more are drawn while too few are left."""
-    if len(blocks.sizes) < 2:
-        return permuted_groups(blocks, n_perm, seed).withColumnRenamed("resample", "perm")
-    order = Window.orderBy("resample")  # one row per candidate
+def permutation_plan(blocks: Blocks, n_perm: int, seed: int, n_cond: int = 1) -> DataFrame:
+    """(perm, sid, group, new_group), and with several conditions ``conditions``, the numbers of the
+    conditions in their new order.  Subjects change groups, whose sizes stay; conditions change places
+    within a subject."""
+    ids, cuts = permutation_ids(blocks, n_perm, seed, n_cond)
+    at = assignment(blocks, seed, cuts, n_cond)
+    schema = "perm int, sid long, group int, new_group int" + (", conditions array<int>" if n_cond > 1 else "")
 
-    def accept(assigned: DataFrame) -> DataFrame:
-        fine = assigned.select("resample").distinct().join(rejected_permutations(assigned, blocks.sizes), "resample", "left_anti")
-        return fine.withColumn("perm", F.row_number().over(order) - 1).filter(F.col("perm") < n_perm)
+    def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            sid, group = pdf["sid"].to_numpy(), pdf["group"].to_numpy()
+            step = max(1, DRAW_BUDGET // (8 * max(1, len(sid))))
+            for first in range(0, len(ids), step):
+                perms = np.arange(first, min(len(ids), first + step))
+                new, order = at(ids[perms], sid)
+                out = {"perm": np.repeat(perms, len(sid)), "sid": np.tile(sid, len(perms)), "group": np.tile(group, len(perms)), "new_group": new.ravel()}
+                if order is not None:
+                    out["conditions"] = list(order.reshape(-1, n_cond).astype(np.int32))
+                yield pd.DataFrame(out)
 
-    assigned, kept = drawn_until(n_perm, lambda n: permuted_groups(blocks, n, seed), accept)
-    return assigned.join(kept, "resample").drop("resample")
+    return blocks.rows.select("sid", "group").mapInPandas(plan, schema)
 
 
 def bootstrap_slots(blocks: Blocks, n: int, seed: int) -> DataFrame:
@@ -240,20 +299,26 @@ def bootstrap_slots(blocks: Blocks, n: int, seed: int) -> DataFrame:
     return counted.groupBy("_group", "_block", "resample").agg(F.sum("slots").cast("int").alias("slots"))
 
 
-def drawn_until(n: int, draw: Callable[[int], DataFrame], accept: Callable[[DataFrame], DataFrame], rounds: int = 9) -> tuple[DataFrame, DataFrame]:
-    """``draw(count)`` for as many candidates as give ``n`` that ``accept`` keeps: (draws, kept resamples).
+def drawn_until(n: int, draw: Callable[[int], DataFrame], accept: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, int]:
+    """``draw(count)`` for as many candidates as give ``n`` that ``accept`` keeps: (draws, kept resamples, count).
 
-    A candidate's draws depend on its number alone, so more candidates change none of the earlier.
-    When 2**rounds times as many still do not do, the rule cannot be met and the job fails."""
+    ``accept`` adds ``_bad`` to the candidates it would rather not have, which come last.  A candidate's
+    draws depend on its number alone, so more candidates change none of the earlier.  Where 2**rounds
+    times as many do not give enough, the bad ones are used after all, with a warning."""
+    spark = None
     count = n + max(10, n // 20)
-    for _ in range(rounds):
+    for turn in range(rounds):
         draws = draw(count).persist()
-        kept = accept(draws)
-        if kept.count() >= n:
-            return draws, kept
+        spark = draws.sparkSession
+        kept = accept(draws).toPandas()  # a row per kept candidate
+        bad = int(kept["_bad"].sum())
+        if not bad or turn == rounds - 1:
+            break
         draws.unpersist()
         count *= 2
-    raise ValueError(f"fewer than {n} of {count // 2} resamples keep the rules; the groups are too small")
+    if bad:
+        warnings.warn(f"{bad} of {n} resamples break the rules; the groups are too small", stacklevel=2)
+    return draws, spark.createDataFrame([(int(r),) for r in kept["resample"]], "resample int"), count
 
 
 def block_multiplicities(
@@ -363,7 +428,7 @@ def bootstrap_sums(
 def accepted_bootstraps(sums: DataFrame, sizes: Sequence[int], n_moments: int, n_boot: int, n_cond: int = 1) -> DataFrame:
     """(resample) of the first ``n_boot`` candidates whose groups all hold at least half as many
     distinct subjects as the smallest group has rows.  A repeat of an earlier draw of a group comes
-    last, as small groups have no other draws."""
+    last, as small groups have no other draws; candidates with too few are ``_bad``."""
     minimum = int(np.ceil(min(sizes) * 0.5))
     distinct = sums.filter(F.col("k") == n_moments).groupBy("resample").agg(
         (F.min("v") < minimum).alias("_few")
@@ -378,8 +443,8 @@ def accepted_bootstraps(sums: DataFrame, sizes: Sequence[int], n_moments: int, n
     return (
         distinct.join(repeats, "resample")
         .withColumn("_n", F.row_number().over(order))
-        .filter((F.col("_n") <= n_boot) & ~F.col("_few"))
-        .select("resample")
+        .filter(F.col("_n") <= n_boot)
+        .select("resample", F.col("_few").alias("_bad"))
     )
 
 
@@ -429,52 +494,207 @@ def permuted_conditions(seed: int, resample: int, sid: np.ndarray, n_cond: int)
     return np.argsort(drawn, axis=1, kind="stable")
 
 
-def shuffle_conditions(seed: int, resample: int, sid: np.ndarray, z: np.ndarray, n_cond: int) -> np.ndarray:
-    if n_cond == 1:
-        return z
+def in_order(z: np.ndarray, order: np.ndarray, n_cond: int) -> np.ndarray:
+    """The condition blocks of each sample's numbers in a new order."""
     cube = z.reshape(len(z), n_cond, -1)
-    order = permuted_conditions(seed, resample, sid, n_cond)
     return np.take_along_axis(cube, order[:, :, None], axis=1).reshape(len(z), -1)
 
 
-def permutation_sums(blocks: Blocks, n: int, seed: int, thresholds: np.ndarray, n_cond: int = 1) -> DataFrame:
-    """First moments per new group for each permutation candidate; the last k counts the samples that
-    kept their group."""
+def permutation_sums(blocks: Blocks, ids: np.ndarray, seed: int, thresholds: np.ndarray, n_cond: int = 1) -> DataFrame:
+    """First moments per new group for the candidates ``ids``, as resamples 0, 1, ..."""
     chunks, groups = blocks.chunks(), len(blocks.sizes)
-    code = stream(seed, PERMUTATION_STREAM)
+    at = assignment(blocks, seed, thresholds, n_cond)
 
     def one(key, left: pd.DataFrame) -> pd.DataFrame:
-        group, _, chunk = (int(v) for v in key)
-        ids = np.arange(n)[chunk::chunks]
+        _, _, chunk = (int(v) for v in key)
+        own = np.arange(len(ids))[chunk::chunks]
         sid, z = _stack(left)
-        new = permuted_cells(code, ids, sid, thresholds)
+        new, order = at(ids[own], sid)
         frames = []
-        shuffled = [shuffle_conditions(seed, int(r), sid, z, n_cond) for r in ids] if n_cond > 1 else None
+        shuffled = None if order is None else [in_order(z, o, n_cond) for o in order]
         for g in range(groups):
             mask = (new == g).astype(float)
             if shuffled is None:
                 moments = weighted_moments(mask, z, NO_PAIRS)
             else:
-                moments = np.vstack(
-                    [weighted_moments(mask[i:i + 1], zr, NO_PAIRS) for i, zr in enumerate(shuffled)]
-                )
-            kept = mask.sum(axis=1, keepdims=True) * (g == group)
-            frames.append(_long(ids, g, np.hstack([moments, kept])))
+                moments = np.vstack([weighted_moments(mask[i:i + 1], zr, NO_PAIRS) for i, zr in enumerate(shuffled)])
+            frames.append(_long(own, g, moments))
         return pd.concat(frames)
 
     rows = fan_out(blocks.rows, chunks, "chunk").groupBy("group", "block", "chunk")
     return _sum_cells(rows.applyInPandas(one, SUMS_SCHEMA))
 
 
-def accepted_permutations(sums: DataFrame, sizes: Sequence[int], k_kept: int, n_perm: int) -> DataFrame:
-    """(resample) of the first candidates that map no group onto itself."""
-    size = F.array(*[F.lit(float(n)) for n in sizes])
-    same = F.col("v") == F.get(size, F.col("cell"))
-    state = sums.filter(F.col("k") == k_kept).groupBy("resample").agg(
-        (F.max(same) & F.lit(len(sizes) > 1)).alias("_same")
-    )
-    order = Window.orderBy("resample")  # one row per candidate
-    return state.filter(~F.col("_same")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n_perm).select("resample")
+# ------------------------------------------------------------------ paired permutations
+def paired_ids(blocks: Blocks, n_perm: int, seed: int, rounds: int = ROUNDS) -> DataFrame:
+    """(perm, sid, to): the sample ``sid`` goes to the place of ``to``; perm 0 .. n_perm - 1.
+
+    The rules are those of ``permutation_ids``.  This is the one resampler that shuffles samples x
+    permutations, as rows of three numbers."""
+    base = blocks.rows.select(F.col("sid").alias("to"), F.col("group").alias("to_group"))
+    size = F.array(*[F.lit(int(n)).cast("long") for n in blocks.sizes])
+    count = n_perm + max(10, n_perm // 20)
+    for turn in range(rounds):
+        moved = with_rank(permutation_draws(blocks, count, seed), ["resample"], F.col("draw"), [F.col("draw")], name="to")
+        moved = moved.select("resample", "sid", "group", (F.col("to") - 1).alias("to")).persist()
+        inside = moved.join(base, "to").groupBy("resample", "group").agg(
+            F.count_if(F.col("group") == F.col("to_group")).alias("n"), F.bit_xor(F.xxhash64("sid", "to")).alias("word"))
+        marks = inside.groupBy("resample").agg(
+            F.max(F.col("n") == F.get(size, F.col("group"))).alias("same"), F.bit_xor("word").alias("word")).toPandas().sort_values("resample")
+        passed = marks.duplicated(["word"]).to_numpy()
+        if len(blocks.sizes) > 1:
+            passed |= marks["same"].to_numpy(bool)
+        ids = marks["resample"].to_numpy()
+        if (~passed).sum() >= n_perm or turn == rounds - 1:
+            break
+        moved.unpersist()
+        count *= 2
+    if (~passed).sum() < n_perm:
+        warnings.warn(f"only {(~passed).sum()} of {n_perm} permutations mix the groups and differ", stacklevel=2)
+    chosen = np.concatenate([ids[~passed], ids[passed]])[:n_perm]
+    table = blocks.rows.sparkSession.createDataFrame([(int(r), i) for i, r in enumerate(chosen)], "resample int, perm int")
+    return moved.join(F.broadcast(table), "resample").select("perm", "sid", "to")  # a row a permutation is broadcast
+
+
+def with_permuted(blocks: Blocks, n_perm: int, seed: int, n_x: int) -> DataFrame:
+    """``blocks.rows`` with ``py``, the y parts of ``x = [x | y]`` that each permutation brings to the sample.
+
+    Only y parts move; an array holds one for each permutation."""
+    y = blocks.rows.select("sid", F.slice("x", n_x + 1, F.size("x")).alias("y"))
+    moved = paired_ids(blocks, n_perm, seed).join(y, "sid")
+    gathered = moved.groupBy(F.col("to").alias("sid")).agg(F.array_sort(F.collect_list(F.struct("perm", "y"))).alias("py"))
+    return blocks.rows.join(gathered.select("sid", F.flatten("py.y").alias("py")), "sid")
+
+
+def paired_sums(blocks: Blocks, rows: DataFrame, n_perm: int, n_x: int, pairs) -> tuple[DataFrame, np.ndarray]:
+    """Moments per permutation and group that depend on the y parts, and their places among all moments.
+
+    ``rows`` is ``with_permuted``.  Moments of x alone are those of the data."""
+    of_y = np.flatnonzero((pairs[0] >= n_x) | (pairs[1] >= n_x))
+    chunks = blocks.chunks()
+    own = (pairs[0][of_y], pairs[1][of_y])
+
+    def one(key, left: pd.DataFrame) -> pd.DataFrame:
+        group, _, chunk = (int(v) for v in key)
+        left = left.sort_values("sid")
+        z = np.array(left["x"].tolist(), dtype=float).reshape(len(left), -1)
+        py = np.array(left["py"].tolist(), dtype=float).reshape(len(left), n_perm, -1)
+        ids = np.arange(n_perm)[chunk::chunks]
+        ones = np.ones((1, len(left)))
+        found = []
+        for p in ids:
+            zp = np.hstack([z[:, :n_x], py[:, p]])
+            found.append(weighted_moments(ones, zp, own)[0, 1 + n_x:])
+        return _long(ids, group, np.array(found).reshape(len(ids), -1))
+
+    grouped = fan_out(rows, chunks, "chunk").groupBy("group", "block", "chunk")
+    return _sum_cells(grouped.applyInPandas(one, SUMS_SCHEMA)), of_y
+
+
+def moments_with(observed: np.ndarray, drawn: np.ndarray, n_x: int, of_y: np.ndarray) -> np.ndarray:
+    """All moments of a paired permutation, from those of the data and the drawn ones of the y parts."""
+    n_y = drawn.shape[1] - len(of_y)
+    out = observed.copy()
+    out[:, 1 + n_x:1 + n_x + n_y] = drawn[:, :n_y]
+    out[:, 1 + n_x + n_y + of_y] = drawn[:, n_y:]
+    return out
+
+
+# ------------------------------------------------------------------ halves of permuted samples
+def half_shares(counts: np.ndarray, halves: np.ndarray, seed: int, family: int) -> np.ndarray:
+    """(blocks x splits x groups): how many of a block's samples in a group are in the first half.
+
+    ``counts`` (blocks x groups) are the samples there, ``halves`` (splits x groups) the sizes of the
+    first halves: hypergeometric draws, as if whole groups were halved at random."""
+    rng = np.random.default_rng([seed, HALF_STREAM, family])
+    out = np.zeros((len(counts), *halves.shape), dtype=np.int32)
+    for g in range(halves.shape[1]):
+        for size in np.unique(halves[:, g]):
+            which = np.flatnonzero(halves[:, g] == size)
+            out[:, which, g] = rng.multivariate_hypergeometric(counts[:, g], int(size), len(which), method="marginals").T
+    return out
+
+
+def half_masks(code: int, family: int, sid: np.ndarray, new: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """(splits x samples) members of the first half: in each group those of the smallest draws."""
+    n_split = len(shares)
+    drawn = D.draw62(code, family * n_split + np.arange(n_split)[:, None], sid[None, :])
+    mask = np.zeros(drawn.shape, dtype=bool)
+    for g in range(shares.shape[1]):
+        inside = np.flatnonzero(new == g)
+        if len(inside):
+            rank = np.argsort(np.argsort(drawn[:, inside], axis=1), axis=1)
+            mask[:, inside] = rank < shares[:, g][:, None]
+    return mask
+
+
+def half_sums(blocks: Blocks, rows: DataFrame, n: int, n_split: int, seed: int, at: Callable, moments: Callable, slab: int = SLAB) -> DataFrame:
+    """(perm, slab, v): packed moments of the families 0 .. n - 1 of halves, summed over all blocks.
+
+    ``at(family, sid, group)`` gives the groups of a block's samples and ``moments(family, left)`` their
+    (samples x moments) numbers.  A row holds, for ``slab`` splits, the moments per group of all
+    samples and then of each first half.  Which samples a block gives to a half needs only the
+    block counts of its family; no sample meets another, and no cut point reaches the driver."""
+    groups, chunks = len(blocks.sizes), blocks.chunks()
+    first = F.array(*[F.lit(b) for b in blocks.first_block])
+    halves = split_sizes(blocks.sizes, n_split, seed, 0.5)
+    code = stream(seed, SPLIT_STREAM)
+    numbered = rows.withColumn("number", (F.get(first, F.col("group")) + F.col("block")).cast("int"))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for number, part in pdf.groupby("number"):
+                sid, group = part["sid"].to_numpy(), int(part["group"].iloc[0])
+                found = np.stack([np.bincount(at(p, sid, group), minlength=groups) for p in range(n)])
+                yield pd.DataFrame({"perm": np.repeat(np.arange(n), groups), "number": number, "g": np.tile(np.arange(groups), n), "n": found.ravel()})
+
+    counts = numbered.select("number", "sid", "group").mapInPandas(count, "perm int, number int, g int, n long")
+    counts = counts.groupBy("perm", "number", "g").agg(F.sum("n").alias("n"))
+
+    def share(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        perm = int(key[0])
+        numbers, at_number = np.unique(pdf["number"], return_inverse=True)
+        table = np.zeros((len(numbers), groups), dtype=np.int64)
+        table[at_number, pdf["g"]] = pdf["n"]
+        found = half_shares(table, halves, seed, perm)
+        return pd.DataFrame({"_number": numbers, "_chunk": perm % chunks, "perm": perm, "shares": [v.astype("<i4").tobytes() for v in found]})
+
+    shares = counts.groupBy("perm").applyInPandas(share, "_number int, _chunk int, perm int, shares binary")
+
+    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"perm": [], "slab": [], "v": []})
+        left = left.sort_values("sid")
+        sid, group = left["sid"].to_numpy(), int(left["group"].iloc[0])
+        numbers = moments(left)
+        out = []
+        for perm, packed in zip(right["perm"].tolist(), right["shares"].tolist()):
+            new = at(perm, sid, group)
+            full = numbers(perm)
+            mask = half_masks(code, perm, sid, new, np.frombuffer(packed, dtype="<i4").reshape(n_split, groups))
+            inside = [np.flatnonzero(new == g) for g in range(groups)]
+            whole = np.stack([full[i].sum(axis=0) for i in inside])[None]
+            parts = np.stack([mask[:, i].astype(float) @ full[i] for i in inside], axis=1)
+            for s in range(0, n_split, slab):
+                out.append((perm, s // slab, np.concatenate([whole, parts[s:s + slab]]).astype("<f8").tobytes()))
+        return pd.DataFrame(out, columns=["perm", "slab", "v"])
+
+    dealt = fan_out(numbered, chunks, "chunk").groupBy("number", "chunk")
+    packed = dealt.cogroup(shares.groupBy("_number", "_chunk")).applyInPandas(one, "perm int, slab int, v binary")
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in frames:
+            for perm, part, v in zip(pdf["perm"].tolist(), pdf["slab"].tolist(), pdf["v"].tolist()):
+                new = np.frombuffer(v, dtype="<f8")
+                held[perm, part] = held[perm, part] + new if (perm, part) in held else new
+            if len(held) > 2000:
+                yield pd.DataFrame([(*k, v.tobytes()) for k, v in held.items()], columns=["perm", "slab", "v"])
+                held = {}
+        yield pd.DataFrame([(*k, v.tobytes()) for k, v in held.items()], columns=["perm", "slab", "v"])
+
+    met = packed.mapInPandas(add, "perm int, slab int, v binary").groupBy("perm", "slab")
+    return met.applyInPandas(lambda pdf: pdf.iloc[:1].assign(v=[sum(np.frombuffer(v, dtype="<f8") for v in pdf["v"]).tobytes()]), "perm int, slab int, v binary")
 
 
 # ------------------------------------------------------------------ stratified splits
