@@ -75,6 +75,11 @@ def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _corners(shift: Column) -> Column:
+    """The corners of an eight by eight image, moved by ``shift``."""
+    return F.array(*[F.array(number(x) + shift, number(y) + shift) for x in (0, 8) for y in (0, 8)])
+
+
 def slice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slices with nested path, sizes and registration parameters, one row per slice."""
     return table(spark, sf_dir, "orders").select(
@@ -109,7 +114,10 @@ def slice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 (number(1) + (F.col("o_orderkey") % 5).cast("double") / number(10)).alias("sx"),
                 (number(1) + (F.col("o_orderkey") % 4).cast("double") / number(10)).alias("sy"),
             ).alias("affine"),
-            F.lit(None).cast("struct<points_src array<array<double>>, points_dst array<array<double>>>").alias("tps"),
+            F.when(
+                F.col("o_orderkey") % 11 != 0,
+                F.struct(_corners(number(0)).alias("points_src"), _corners((F.col("o_orderkey") % 9).cast("double")).alias("points_dst")),
+            ).alias("tps"),
         ).alias("params"),
     )
 

@@ -28,12 +28,13 @@ def _combo(expr_a: bool, expr_b: bool, expr_c: bool) -> str:
 
 COMBOS = [(a, b, c) for a in (False, True) for b in (False, True) for c in (False, True)]
 COMBO_NAMES = ["".join(n + ("+" if s else "-") for n, s in zip("abc", t)) for t in COMBOS]
+MEASURES = ["cells", "a+", "b+", "c+", *COMBO_NAMES]
 
 
 # ---------------------------------------------------------------- flagship
 def _summary_sql(grain: str, density_side: float | None, size: tuple | None, min_side: float | None) -> str:
     slice_grain = grain == "slice"
-    names = ["cells", "a+", "b+", "c+", *COMBO_NAMES]
+    names = MEASURES
     conds = ["x IS NOT NULL", "la", "lb", "lc", *[_combo(*t) for t in COMBOS]]
     aggs = ", ".join(f'count_if({c}) AS "{n}"' for n, c in zip(names, conds))
     zeros = ", ".join("0" for _ in names)
@@ -90,17 +91,19 @@ def region_summary_per_slice(spark, sf):
     return _summarise(spark, sf, row_per="slice", slice_columns=("ap",))
 
 
-@query("count_and_density_sheets", f"""WITH {RESULTS}
-  SELECT 'counts' AS sheet, condition, animal_id, acronym, CAST(cells AS DOUBLE) AS cells FROM results
-  UNION ALL SELECT 'density', condition, animal_id, acronym,
-    {R("CAST(cells AS DOUBLE) / nullif(total_area_um2, 0) * 62500")} FROM results""")
+def _sheets_sql() -> str:
+    sheet = lambda name, side: f"""SELECT '{name}' AS sheet, condition, animal_id, acronym, {", ".join(f'CAST("{n}" AS DOUBLE) AS "{n}"' for n in MEASURES)}
+      FROM ({_summary_sql("subject", side, None, None)})"""
+    return f"{sheet('counts', None)} UNION ALL {sheet('density', 250.0)}"
+
+
+@query("count_and_density_sheets", _sheets_sql())
 def count_and_density_sheets(spark, sf):
     raw, dense = G.count_and_density_sheets(
-        P.cells(spark, sf).drop("LABEL-a", "LABEL-b", "LABEL-c"), P.slice_areas(spark, sf),
-        P.valid_slices(spark, sf), _labels(spark, sf), P.structures(spark, sf), per_area_side=250.0,
+        P.cells(spark, sf), P.slice_areas(spark, sf), P.valid_slices(spark, sf), _labels(spark, sf), P.structures(spark, sf), per_area_side=250.0,
     )
     pick = lambda df, name: df.select(
-        F.lit(name).alias("sheet"), "condition", "animal_id", "acronym", F.col("cells").cast("double").alias("cells")
+        F.lit(name).alias("sheet"), "condition", "animal_id", "acronym", *[F.col(f"`{n}`").cast("double").alias(n) for n in MEASURES]
     )
     return rounded(pick(raw, "counts").unionByName(pick(dense, "density")))
 
@@ -504,7 +507,7 @@ def evenly_space_ap(spark, sf):
 DOCS = f"""docs AS (SELECT o_orderkey AS slice_id, o_custkey AS animal_id, o_orderkey AS pos,
   o_orderpriority = '5-LOW' AS ignore, '/images/' || o_custkey || '/slice' || o_orderkey || '.czi' AS filename,
   'slice' || o_orderkey AS stem, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 3 END AS scene,
-  o_orderkey % 7 <> 0 AS has_atlas, o_totalprice / 1000 AS ap, (o_orderkey % 5)::DOUBLE AS rot_horizontal,
+  o_orderkey % 7 <> 0 AS has_atlas, o_orderkey % 11 <> 0 AS has_tps, o_totalprice / 1000 AS ap, (o_orderkey % 5)::DOUBLE AS rot_horizontal,
   (o_orderkey % 4)::DOUBLE AS rot_sagittal FROM orders)"""
 SLICE_STRING = "filename || CASE WHEN scene IS NULL THEN '' ELSE ' [Scene #' || scene || ']' END"
 
@@ -540,22 +543,22 @@ def move_images_root(spark, sf):
     return S.move_images_root(docs, files, "/moved", "/images").select("slice_id", F.col("path.filename").alias("filename"))
 
 
-@query("next_missing_param", f"""WITH {DOCS} SELECT animal_id, slice_id, pos, 'atlas' AS missing FROM docs
-  WHERE NOT ignore AND NOT has_atlas ORDER BY animal_id, pos LIMIT 1""")
+@query("next_missing_param", f"""WITH {DOCS} SELECT animal_id, slice_id, pos, CASE WHEN NOT has_atlas THEN 'atlas' ELSE 'tps' END AS missing FROM docs
+  WHERE NOT ignore AND NOT (has_atlas AND has_tps) ORDER BY animal_id, pos LIMIT 1""")
 def next_missing_param(spark, sf):
-    return S.next_missing_param(P.slice_documents(spark, sf), ("atlas", "affine"))
+    return S.next_missing_param(P.slice_documents(spark, sf))
 
 
-@query("can_calculate_results", f"WITH {DOCS} SELECT count(*) = 0 AS ready FROM docs WHERE NOT ignore AND NOT has_atlas")
+@query("can_calculate_results", f"WITH {DOCS} SELECT count(*) = 0 AS ready FROM docs WHERE NOT ignore AND NOT (has_atlas AND has_tps)")
 def can_calculate_results(spark, sf):
-    return S.can_calculate_results(P.slice_documents(spark, sf), ("atlas", "affine"))
+    return S.can_calculate_results(P.slice_documents(spark, sf))
 
 
-@query("can_calculate_contrast", f"""WITH {SUBJECTS}, {DOCS}, c AS (SELECT count(*) = 0 AS complete FROM docs WHERE NOT ignore AND NOT has_atlas)
+@query("can_calculate_contrast", f"""WITH {SUBJECTS}, {DOCS}, c AS (SELECT count(*) = 0 AS complete FROM docs WHERE NOT ignore AND NOT (has_atlas AND has_tps))
   SELECT count(DISTINCT condition) >= 2 AND bool_and(condition IS NOT NULL) AND bool_and(complete) AS ready, bool_and(complete) AS params_complete,
   bool_and(condition IS NOT NULL) AS all_have_condition, count(DISTINCT condition) AS n_values FROM subjects, c""")
 def can_calculate_contrast(spark, sf):
-    return S.can_calculate_contrast(P.slice_documents(spark, sf), P.subjects(spark, sf), "segment", ("atlas", "affine"))
+    return S.can_calculate_contrast(P.slice_documents(spark, sf), P.subjects(spark, sf), "segment")
 
 
 @query("possible_contrasts", f"""WITH {SUBJECTS}, v AS (SELECT DISTINCT condition AS c FROM subjects)

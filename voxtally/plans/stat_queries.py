@@ -301,7 +301,34 @@ POSITIONS = f"""
 grp AS (SELECT animal_id, condition, dense_rank() OVER (ORDER BY condition) - 1 AS grp,
   row_number() OVER (ORDER BY condition, animal_id) - 1 AS sid FROM animals),
 bounds AS (SELECT grp, max(sid) + 1 AS upto, count(*) AS n, min(sid) AS start FROM grp GROUP BY 1)"""
-N_PLAN = 20
+# The operators' own defaults.
+N_PERM = N_BOOT_PLS = 1000
+N_SPLIT = 100
+
+
+def _candidates(n: int) -> int:
+    return n + max(10, n // 20)
+
+
+def _permutations_sql(n_cond: int) -> str:
+    """The first N_PERM candidates that map no group onto itself and repeat no earlier sequence."""
+    ordered = ""
+    what = "CAST(new_group AS VARCHAR)"
+    if n_cond > 1:
+        ordered = f"""w AS (SELECT perm, sid, grp, new_group, c, sid * {n_cond} + c AS slot FROM p CROSS JOIN (SELECT unnest(range({n_cond})) AS c)),
+  {draw_ctes("w", "v", RS.stream(SEED, RS.CONDITION_STREAM), "perm", "slot", "draw")},
+  a AS (SELECT perm, sid, grp, new_group, string_agg(CAST(c AS VARCHAR), ',' ORDER BY draw, c) AS conditions FROM v GROUP BY perm, sid, grp, new_group),"""
+        what += " || ':' || conditions"
+    return f"""WITH {FILTERED},{POSITIONS}, f AS (SELECT * FROM grp CROSS JOIN (SELECT unnest(range({_candidates(N_PERM)})) AS perm)),
+  {draw_ctes("f", "d", RS.stream(SEED, RS.PERMUTATION_STREAM), "perm", "sid", "draw")},
+  k AS (SELECT *, row_number() OVER (PARTITION BY perm ORDER BY draw) - 1 AS rk FROM d),
+  p AS (SELECT perm, sid, k.grp, b.grp AS new_group FROM k JOIN bounds b ON rk >= b.start AND rk < b.upto),
+  {ordered or "a AS (SELECT * FROM p),"}
+  unmixed AS (SELECT perm FROM a GROUP BY perm, grp HAVING bool_and(grp = new_group)),
+  seqs AS (SELECT perm, row_number() OVER (PARTITION BY seq ORDER BY perm) AS nth FROM (SELECT perm, md5(string_agg({what}, ',' ORDER BY sid)) AS seq FROM a GROUP BY perm)),
+  fine AS (SELECT perm, row_number() OVER (ORDER BY perm) - 1 AS place FROM seqs WHERE nth = 1 AND perm NOT IN (SELECT perm FROM unmixed))
+  SELECT CAST(place AS INTEGER) AS perm, sid, CAST(grp AS INTEGER) AS grp, CAST(new_group AS INTEGER) AS new_group{", conditions" if n_cond > 1 else ""}
+  FROM a JOIN fine USING (perm) WHERE place < {N_PERM}"""
 
 
 def _blocks(spark, sf):
@@ -315,38 +342,42 @@ def group_index(spark, sf):
     return blocks.rows.select("animal_id", F.col("group").alias("grp"), "sid")
 
 
-@query("permutation_plan", f"""WITH {FILTERED},{POSITIONS}, f AS (SELECT * FROM grp CROSS JOIN (SELECT unnest(range({N_PLAN})) AS perm)),
-  {draw_ctes("f", "d", RS.stream(SEED, RS.PERMUTATION_STREAM), "perm", "sid", "draw")},
-  k AS (SELECT *, row_number() OVER (PARTITION BY perm ORDER BY draw) - 1 AS rk FROM d)
-  SELECT CAST(perm AS INTEGER) AS perm, sid, CAST(k.grp AS INTEGER) AS grp, CAST(b.grp AS INTEGER) AS new_group
-  FROM k JOIN bounds b ON rk >= b.start AND rk < b.upto""")
+@query("permutation_plan", _permutations_sql(1))
 def permutation_plan(spark, sf):
     _, blocks = _blocks(spark, sf)
-    plan = RS.permutation_plan(blocks, N_PLAN, SEED)
+    plan = RS.permutation_plan(blocks, N_PERM, SEED)
     return plan.select("perm", "sid", F.col("group").alias("grp"), "new_group")
 
 
+@query("permutation_plan_conditions", _permutations_sql(2))
+def permutation_plan_conditions(spark, sf):
+    """Two conditions per subject: subjects change groups and the conditions places within them."""
+    _, blocks = _blocks(spark, sf)
+    plan = RS.permutation_plan(blocks, N_PERM, SEED, 2)
+    return plan.select("perm", "sid", F.col("group").alias("grp"), "new_group", F.concat_ws(",", F.col("conditions").cast("array<string>")).alias("conditions"))
+
+
 @query("bootstrap_plan", f"""WITH {FILTERED},{POSITIONS}, j AS (SELECT DISTINCT grp, n, start FROM bounds),
-  f AS (SELECT grp, n, start, r, unnest(range(n)) AS slot FROM j CROSS JOIN (SELECT unnest(range({N_PLAN})) AS r)),
+  f AS (SELECT grp, n, start, r, unnest(range(n)) AS slot FROM j CROSS JOIN (SELECT unnest(range({N_BOOT_PLS})) AS r)),
   g AS (SELECT *, r * (SELECT count(*) FROM j) + grp AS key FROM f),
   {draw_ctes("g", "d", RS.stream(SEED, RS.IN_BLOCK_STREAM), "key", "slot", "draw")}
   SELECT CAST(r AS INTEGER) AS resample, start + draw % n AS sid, CAST(grp AS INTEGER) AS grp, CAST(count(*) AS INTEGER) AS weight
   FROM d GROUP BY ALL""")
 def bootstrap_plan(spark, sf):
     _, blocks = _blocks(spark, sf)
-    return RS.bootstrap_plan(blocks, N_PLAN, SEED).withColumnRenamed("group", "grp")
+    return RS.bootstrap_plan(blocks, N_BOOT_PLS, SEED).withColumnRenamed("group", "grp")
 
 
-@query("split_plan", f"""WITH {FILTERED},{POSITIONS}, f AS (SELECT * FROM grp CROSS JOIN (SELECT unnest(range({N_PLAN})) AS split)),
+@query("split_plan", f"""WITH {FILTERED},{POSITIONS}, f AS (SELECT * FROM grp CROSS JOIN (SELECT unnest(range({N_SPLIT})) AS split)),
   {draw_ctes("f", "d", RS.stream(SEED, RS.SPLIT_STREAM), "split", "sid", "draw")},
-  c AS (SELECT grp, n, split FROM bounds CROSS JOIN (SELECT unnest(range({N_PLAN})) AS split)),
+  c AS (SELECT grp, n, split FROM bounds CROSS JOIN (SELECT unnest(range({N_SPLIT})) AS split)),
   {draw_ctes("c", "e", RS.stream(SEED, RS.SPLIT_STREAM + 1), "split", "grp", "coin")},
   t AS (SELECT grp, split, CASE WHEN (coin >> 40) % 2 = 0 THEN ceil(n / CAST(2 AS DOUBLE)) ELSE floor(n / CAST(2 AS DOUBLE)) END AS k FROM e)
   SELECT CAST(d.split AS INTEGER) AS split, sid, CAST(d.grp AS INTEGER) AS grp,
     row_number() OVER (PARTITION BY d.split, d.grp ORDER BY draw) <= k AS first FROM d JOIN t ON t.grp = d.grp AND t.split = d.split""")
 def split_plan(spark, sf):
     _, blocks = _blocks(spark, sf)
-    return RS.split_plan(blocks, N_PLAN, SEED).withColumnRenamed("group", "grp")
+    return RS.split_plan(blocks, N_SPLIT, SEED).withColumnRenamed("group", "grp")
 
 
 # ---------------------------------------------------------------- PLS pieces
@@ -442,15 +473,6 @@ def svd_small(spark, sf):
     return rounded(keep.join(left, "lv"), 5)
 
 
-# The operators' own defaults.
-N_PERM = N_BOOT_PLS = 1000
-N_SPLIT = 100
-
-
-def _pls(spark, sf, **options):
-    return L.meancentered_pls(_matrix(spark, sf), n_perm=N_PERM, n_boot=N_BOOT_PLS, seed=SEED, **options)
-
-
 @query("pls_lv_pvalues")
 def pls_lv_pvalues(spark, sf):
     return rounded(L.lv_pvalues(L.meancentered_pls(_matrix(spark, sf), n_perm=N_PERM, n_boot=0, seed=SEED)))
