@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxtally.functions import draws as D
+from voxtally.operators import network as N
 from voxtally.operators import pls as L
 from voxtally.operators import resample as RS
 from voxtally.operators.stats import Matrix
@@ -332,3 +333,53 @@ def test_simpls_residuals_and_scores(spark):
     assert np.allclose(scores.T @ scores, np.eye(2), atol=1e-8)
     table_ = result["scores"].toPandas().pivot(index="animal_id", columns="component", values="x_score").to_numpy()
     assert np.allclose(table_, scores, atol=1e-8)
+
+
+def network_numbers(n=60, width=11):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(n, width)) + rng.normal(size=(n, 1))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = 2.5
+    x[2:, 7] = np.nan
+    return x
+
+
+def pair_correlation(x, i, j):
+    own = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+    a, b = x[own, i], x[own, j]
+    if own.sum() < 2 or a.std() < 1e-12 or b.std() < 1e-12:
+        return own.sum(), np.nan
+    return own.sum(), np.corrcoef(a, b)[0, 1]
+
+
+@pytest.mark.parametrize("tile", [4, 32])
+def test_pair_blocks_give_every_correlation_and_count(spark, tile):
+    x = network_numbers()
+    rows = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "animal_id long, x array<double>")
+    blocks = N.network_blocks(rows, len(x), x.shape[1], 25)
+    got = {(r["i"], r["j"]): (r["n"], r["r"]) for r in N.correlation(blocks, x.shape[1], tile=tile).collect()}
+    assert len(got) == 55
+    for (i, j), (n, r) in got.items():
+        want_n, want = pair_correlation(x, i, j)
+        assert n == want_n
+        assert r is None if want_n < 3 or np.isnan(want) else r == pytest.approx(want)
+    n_boot = 25
+    observed = N.correlation(blocks, x.shape[1], tile=tile)
+    counts = {(r["i"], r["j"]): r["exceed"] for r in N.edge_bootstrap(blocks, x.shape[1], observed, n_boot, SEED, tile=tile).collect()}
+    plan = RS.bootstrap_plan(blocks, n_boot, SEED).toPandas()
+    order = blocks.rows.toPandas().sort_values("sid").animal_id.to_numpy()
+    want = dict.fromkeys(got, 0)
+    for r in range(n_boot):
+        own = plan[plan["resample"] == r]
+        z = x[order][np.repeat(own.sid.to_numpy(), own.weight.to_numpy())]
+        for i, j in got:
+            value = pair_correlation(z, i, j)[1]
+            want[i, j] += 0 if np.isnan(value) else abs(value) > abs(got[i, j][1] or 0) + 1e-12
+    assert counts == want
+
+
+def test_a_thousand_structures_never_meet_in_one_group(spark):
+    rows = spark.createDataFrame([(i, [float((i * 7919 + k * 31) % 101) for k in range(1000)]) for i in range(12)], "animal_id long, x array<double>")
+    sums = N.pair_sums(N.network_blocks(rows, 12, 1000), 1000)
+    sizes = sums.select(F.length("v").alias("n")).agg(F.max("n").alias("n"), F.count("*").alias("rows")).first()
+    assert sizes["n"] == 6 * N.TILE**2 * 8 and sizes["rows"] == len(N.tile_pairs(1000))

@@ -1,11 +1,13 @@
 """Correlation networks between structures.
 
-Pairwise-complete correlations come from five kinds of products (both values, presence, squares), so
-one distributed moment sum gives every pair at once; no subject ever emits its pairs as rows."""
+Pairwise-complete correlations come from six kinds of products (counts, sums, squares and cross
+products over the subjects that have both).  The structures are cut into tiles; a pair block is two
+tiles, and its products are packed matrices keyed by (resample, pair block).  A task holds one pair
+block of some subjects at a time, and correlations and bootstrap counts are finished per block."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,40 +21,41 @@ from voxtally.operators.resample import Blocks
 from voxtally.operators.stats import Matrix, adjust_pvalues
 
 PAIR_SCHEMA = "i int, j int, n double, r double"
+PACKED = "resample int, pair int, v binary"
+TILE = 32  # structures of one tile: a packed block is 6 x 32 x 32 numbers
+WAYS = 16  # parts in which a block's bootstrap counts are added up first
 
 
 def network_blocks(rows: DataFrame, n_rows: int, width: int, block_size: int = RS.BLOCK_SIZE) -> Blocks:
-    """``rows(animal_id, x)`` as one group with x = [values | presence | squares]; values are
-    centred first so that products stay small."""
+    """``rows(animal_id, x)`` as one group; values are centred first so that products stay small, and a
+    missing value is NaN."""
     means = [
         F.avg(F.get("x", F.lit(k))).alias(f"m{k}") for k in range(width)
     ]
     first = rows.agg(*means).collect()[0]  # one number per structure
     shifts = F.array(*[number(0.0 if v is None else v) for v in first])
-    shifted = F.zip_with("x", shifts, lambda v, m: v - m)
-    zero = lambda v: F.coalesce(v, number(0))
-    x = F.concat(
-        F.transform(shifted, zero),
-        F.transform("x", lambda v: F.when(v.isNull(), number(0)).otherwise(number(1))),
-        F.transform(shifted, lambda v: zero(v * v)),
-    )
-    return RS.make_blocks(rows.select("animal_id", F.lit(0).alias("group"), x.alias("x")), [n_rows], block_size)
+    shifted = F.zip_with("x", shifts, lambda v, m: F.coalesce(v - m, F.lit(float("nan"))))
+    return RS.make_blocks(rows.select("animal_id", F.lit(0).alias("group"), shifted.alias("x")), [n_rows], block_size)
+
+
+def tile_pairs(width: int, tile: int = TILE) -> list[tuple[int, int]]:
+    """The first structures of both tiles of each pair block."""
+    starts = range(0, width, tile)
+    return [(a, b) for a in starts for b in starts if a <= b]
 
 
-def pair_products(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Product index pairs for all i < j: presence, x_i, x_j, squares, cross."""
-    a, b = np.triu_indices(width, k=1)
-    m, q = width + np.arange(width), 2 * width + np.arange(width)
-    i = np.concatenate([m[a], a, m[a], q[a], m[a], a])
-    j = np.concatenate([m[b], m[b], b, m[b], q[b], b])
-    return a, b, i, j
+def block_products(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(resamples x 6 x tile x tile): weighted n, sum x, sum y, sum xx, sum yy, sum xy of the complete pairs."""
+    has_x, has_y = ~np.isnan(x), ~np.isnan(y)
+    x, y = np.where(has_x, x, 0.0), np.where(has_y, y, 0.0)
+    left = [has_x.astype(float), x, has_x.astype(float), x * x, has_x.astype(float), x]
+    right = [has_y.astype(float), has_y.astype(float), y, has_y.astype(float), y * y, y]
+    return np.stack([np.stack([(a * row[:, None]).T @ b for a, b in zip(left, right)]) for row in w])
 
 
-def correlations(moments: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(resamples x moments) -> pair counts and correlations; NaN where a side is constant."""
-    n_pairs = width * (width - 1) // 2
-    body = moments[:, 1 + 3 * width:][:, : 6 * n_pairs].reshape(len(moments), 6, n_pairs)
-    n, sx, sy, sxx, syy, sxy = (body[:, t] for t in range(6))
+def block_correlations(products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pair counts and correlations of one packed block; NaN where a side is constant."""
+    n, sx, sy, sxx, syy, sxy = products
     with np.errstate(all="ignore"):
         vx, vy, c = sxx - sx * sx / n, syy - sy * sy / n, sxy - sx * sy / n
         scale = np.sqrt(np.maximum(vx, 0) * np.maximum(vy, 0))
@@ -61,19 +64,67 @@ def correlations(moments: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     return n, np.clip(r, -1.0, 1.0)
 
 
-def correlation(blocks: Blocks, width: int, min_periods: int = 3) -> DataFrame:
+def pair_sums(blocks: Blocks, width: int, n_boot: int = 0, seed: int = 0, tile: int = TILE) -> DataFrame:
+    """(resample, pair, v): the packed products of every pair block, of the data (resample -1) or of
+    ``n_boot`` bootstraps of the subjects.  Only the two tiles of a block travel with it."""
+    pairs = tile_pairs(width, tile)
+    chunks, n_blocks = (blocks.chunks() if n_boot else 1), blocks.n_blocks
+    tiles = F.array(*[F.struct(F.lit(k).alias("pair"), F.slice("x", a + 1, tile).alias("xi"), F.slice("x", b + 1, tile).alias("xj")) for k, (a, b) in enumerate(pairs)])
+    rows = RS.fan_out(blocks.rows.select("sid", "block", F.inline(tiles)), chunks, "chunk").groupBy("pair", "block", "chunk")
+
+    def matrices(left: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        left = left.sort_values("sid")
+        return tuple(np.array(left[c].tolist(), dtype=float).reshape(len(left), -1) for c in ("xi", "xj"))
+
+    def packed(ids: np.ndarray, pair: int, products: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"resample": ids, "pair": pair, "v": [p.astype("<f8").tobytes() for p in products]})
+
+    if not n_boot:
+        def plain(key, left: pd.DataFrame) -> pd.DataFrame:
+            x, y = matrices(left)
+            return packed(np.array([-1]), int(key[0]), block_products(np.ones((1, len(x))), x, y))
+
+        parts = rows.applyInPandas(plain, PACKED)
+    else:
+        def drawn(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            pair, block, chunk = (int(v) for v in key)
+            ids = np.arange(n_boot)[chunk::chunks]
+            if not len(left) or not len(ids):
+                return pd.DataFrame({"resample": [], "pair": [], "v": []})
+            x, y = matrices(left)
+            by_id = dict(zip(right["resample"], right["slots"]))
+            slots = np.array([by_id.get(int(r), 0) for r in ids])
+            w = RS.block_multiplicities(seed, ids, slots, n_blocks, block, len(x))
+            return packed(ids, pair, block_products(w, x, y))
+
+        slots = RS.bootstrap_slots(blocks, n_boot, seed).withColumn("_chunk", F.pmod("resample", F.lit(chunks)))
+        slots = slots.withColumn("_pair", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))))
+        parts = rows.cogroup(slots.groupBy("_pair", "_block", "_chunk")).applyInPandas(drawn, PACKED)
+    if n_blocks == 1:
+        return parts
+    add = lambda pdf: pdf.iloc[:1].assign(v=[sum(np.frombuffer(v, dtype="<f8") for v in pdf["v"]).tobytes()])
+    return parts.groupBy("resample", "pair").applyInPandas(add, PACKED)
+
+
+def _unpacked(packed: bytes, a: int, b: int, width: int, tile: int) -> np.ndarray:
+    return np.frombuffer(packed, dtype="<f8").reshape(6, min(tile, width - a), min(tile, width - b))
+
+
+def correlation(blocks: Blocks, width: int, min_periods: int = 3, tile: int = TILE) -> DataFrame:
     """(i, j, n, r) for i < j: pairwise complete Pearson, NULL under ``min_periods`` or when
     a structure is constant."""
-    a, b, i, j = pair_products(width)
-    n_moments = 1 + 3 * width + len(i)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((1, n_moments))
-        m[0, pdf["k"].to_numpy()] = pdf["v"].to_numpy()
-        n, r = correlations(m, width)
-        return pd.DataFrame({"i": a, "j": b, "n": n[0], "r": np.where(n[0] >= min_periods, r[0], np.nan)})
+    starts = tile_pairs(width, tile)
 
-    pairs = RS.plain_sums(blocks, (i, j)).groupBy("resample").applyInPandas(one, PAIR_SCHEMA)
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for pair, packed in zip(pdf["pair"].tolist(), pdf["v"].tolist()):
+                a, b = starts[pair]
+                n, r = block_correlations(_unpacked(packed, a, b, width, tile))
+                i, j = np.indices(n.shape)
+                keep = (i + a) < (j + b)
+                yield pd.DataFrame({"i": (i + a)[keep], "j": (j + b)[keep], "n": n[keep], "r": np.where(n >= min_periods, r, np.nan)[keep]})
+
+    pairs = pair_sums(blocks, width, tile=tile).mapInPandas(finish, PAIR_SCHEMA)
     return pairs.select("i", "j", F.col("n").cast("long").alias("n"), F.nanvl("r", F.lit(None).cast("double")).alias("r"))
 
 
@@ -91,27 +142,48 @@ def edge_pvalues(pairs: DataFrame, n_rows: int, method: str | None = "fdr_bh") -
 
 
 def edge_bootstrap(
-    blocks: Blocks, width: int, observed: DataFrame, n_boot: int, seed: int, method: str | None = "fdr_bh"
+    blocks: Blocks, width: int, observed: DataFrame, n_boot: int, seed: int, method: str | None = "fdr_bh", tile: int = TILE
 ) -> DataFrame:
     """(i, j, exceed, null_p, null_pvalue): share of row bootstraps with a strictly larger
     absolute correlation, corrected over all pairs.  A pair without correlation counts as 0."""
-    a, b, i, j = pair_products(width)
-    n_moments = 1 + 3 * width + len(i)
-    sums = RS.bootstrap_sums(blocks, n_boot, seed, (i, j))
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((1, n_moments + 2))
-        m[0, pdf["k"].to_numpy()] = pdf["v"].to_numpy()
-        _, r = correlations(m[:, :n_moments], width)
-        return pd.DataFrame({"i": a, "j": b, "n": 0.0, "r": r[0]})
-
-    drawn = sums.groupBy("resample").applyInPandas(one, PAIR_SCHEMA).select("i", "j", F.nanvl("r", F.lit(None).cast("double")).alias("rb"))
-    counted = (
-        drawn.join(observed.select("i", "j", F.coalesce("r", number(0)).alias("_r")), ["i", "j"])
-        .groupBy("i", "j")
-        .agg(F.count_if(F.abs("rb") > F.abs("_r")).alias("exceed"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("null_p", F.col("exceed") / F.col("_n")).drop("_n")
-    )
+    starts = tile_pairs(width, tile)
+    # each block's observed correlations, in the order of its matrix
+    place = F.lit(0)
+    for k, (a, b) in enumerate(starts):
+        inside = F.col("i").between(a, a + tile - 1) & F.col("j").between(b, b + tile - 1)
+        place = F.when(inside, k).otherwise(place)
+    known = observed.select("i", "j", F.coalesce("r", number(0)).alias("r"), place.alias("pair"))
+    known = known.groupBy("pair").agg(F.collect_list(F.struct("i", "j", "r")).alias("known"))  # at most a block
+    sums = pair_sums(blocks, width, n_boot, seed, tile).join(known, "pair").withColumn("way", F.pmod("resample", F.lit(WAYS)))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for pair, way, packed, rows in zip(pdf["pair"].tolist(), pdf["way"].tolist(), pdf["v"].tolist(), pdf["known"].tolist()):
+                a, b = starts[pair]
+                _, r = block_correlations(_unpacked(packed, a, b, width, tile))
+                limit = np.full(r.shape, np.inf)
+                for row in rows:
+                    limit[row["i"] - a, row["j"] - b] = abs(row["r"])
+                out.append((pair, way, 1, (np.abs(np.nan_to_num(r)) > limit).astype("<i8").tobytes()))
+            yield pd.DataFrame(out, columns=["pair", "way", "n", "v"])
+
+    counted = sums.select("pair", "way", "v", "known").mapInPandas(compare, "pair int, way int, n long, v binary")
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(v, dtype="<i8") for v in pdf["v"])
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "way": [pdf["way"].iloc[0]], "n": [pdf["n"].sum()], "v": [total.tobytes()]})
+
+    def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = starts[int(pdf["pair"].iloc[0])]
+        total = sum(np.frombuffer(v, dtype="<i8") for v in pdf["v"]).reshape(min(tile, width - a), -1)
+        i, j = np.indices(total.shape)
+        keep = (i + a) < (j + b)
+        return pd.DataFrame({"i": (i + a)[keep], "j": (j + b)[keep], "exceed": total[keep], "_n": int(pdf["n"].sum())})
+
+    parts = counted.groupBy("pair", "way").applyInPandas(add, "pair int, way int, n long, v binary")
+    counted = parts.groupBy("pair").applyInPandas(rows_of, "i int, j int, exceed long, _n long")
+    counted = counted.withColumn("null_p", F.col("exceed") / F.col("_n")).drop("_n")
     return adjust_pvalues(counted, "null_p", (), method, out="null_pvalue").drop("reject")
 
 
