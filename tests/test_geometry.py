@@ -105,3 +105,63 @@ def test_registered_values_of_a_turned_image(spark):
     small = got[::2, ::2]
     assert (got == np.repeat(np.repeat(small, 2, 0), 2, 1)).all()
     assert (small == np.rot90(annotation)).all() or (small == np.rot90(annotation, -1)).all()
+
+
+def test_images_are_pulled_back_through_spline_and_affine(spark):
+    rng = np.random.default_rng(3)
+    height, width = 12, 14
+    image = rng.normal(size=(height, width))
+    src = np.array([[x, y] for x in (0.0, 7.0, 13.0) for y in (0.0, 6.0, 11.0)])
+    dst = src + rng.normal(scale=0.7, size=src.shape)
+    row = (1, {"affine": {"angle": 7.0, "tx": 1.5, "ty": -0.5, "sx": 1.2, "sy": 0.9}, "tps": {"points_src": src.tolist(), "points_dst": dst.tolist()}}, height, width)
+    schema = (
+        "slice_id long, params struct<affine struct<angle double, tx double, ty double, sx double, sy double>,"
+        " tps struct<points_src array<array<double>>, points_dst array<array<double>>>>, lowres_height int, lowres_width int")
+    docs = spark.createDataFrame([row], schema)
+    pixels = spark.createDataFrame([(1, y, x, float(v)) for (y, x), v in np.ndenumerate(image)], "slice_id long, y int, x int, v double")
+
+    def radial(p, q):
+        r2 = ((p[:, None] - q[None]) ** 2).sum(-1)
+        return np.where(r2 > 0, r2 * np.log(np.where(r2 > 0, r2, 1)), 0)
+
+    n = len(dst)
+    plane = np.hstack([np.ones((n, 1)), dst])
+    system = np.block([[radial(dst, dst), plane], [plane.T, np.zeros((3, 3))]])
+    weights = np.linalg.solve(system, np.vstack([src, np.zeros((3, 2))]))
+    out = np.array([[x, y] for y in range(height) for x in range(width)], dtype=float)
+    back = radial(out, dst) @ weights[:n] + np.hstack([np.ones((len(out), 1)), out]) @ weights[n:]
+    a, centre = np.radians(7.0), np.array([(width - 1) // 2, (height - 1) // 2])
+    turn = np.diag([1.2, 0.9]) @ np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
+    at = (back - centre - [1.5, -0.5]) @ np.linalg.inv(turn).T + centre
+
+    def value(y, x):
+        return image[y, x] if 0 <= y < height and 0 <= x < width else 0.0
+
+    linear, nearest = [], []
+    for x, y in at:
+        fy, fx = int(np.floor(y)), int(np.floor(x))
+        linear.append(sum(value(fy + b, fx + c) * abs(1 - b - (y - fy)) * abs(1 - c - (x - fx)) for b in (0, 1) for c in (0, 1)))
+        nearest.append(value(int(np.rint(y)), int(np.rint(x))))
+    for mode, want in (("bilinear", linear), ("nearest", nearest)):
+        got = T.warp_image(pixels, docs, height, width, mode).orderBy("y", "x").toPandas().v
+        assert np.allclose(got, want, atol=1e-6)
+    # the image frame's pixels lie where the forward transforms take them
+    corners = spark.createDataFrame([(1, float(x), float(y)) for x, y in src], "slice_id long, x double, y double")
+    moved = T.to_atlas(corners, docs, (4, height, width), until="tps")
+    assert moved.count() == n
+
+
+def test_registered_coordinates_are_the_planes_places(spark):
+    shape, size = (9, 10, 12), (10, 12)
+    schema = (
+        "slice_id long, params struct<atlas struct<ap double, rot_frontal double, rot_horizontal double, rot_sagittal double>,"
+        " affine struct<angle double, tx double, ty double, sx double, sy double>,"
+        " tps struct<points_src array<array<double>>, points_dst array<array<double>>>>, lowres_height int, lowres_width int")
+    docs = spark.createDataFrame([(1, {"atlas": {"ap": 4.0, "rot_frontal": 0.0, "rot_horizontal": 0.0, "rot_sagittal": 0.0}, "affine": {"angle": 0.0, "tx": 2.0, "ty": 0.0, "sx": 1.0, "sy": 1.0}, "tps": None}, *size)], schema)
+    for resolution, unit in ((None, (1, 1, 1)), ((50.0, 25.0, 20.0), (50, 25, 20))):
+        got = T.registered_coordinates(docs, shape, *size, resolution).collect()
+        assert len(got) == 120
+        for r in got:
+            x, y = r["x"] + 2, r["y"]
+            want = (4.0, y - 4.5 + 5, x - 5.5 + 6) if x < 12 else (0, 0, 0)
+            assert (r["c0"], r["c1"], r["c2"]) == tuple(int(np.rint(w * u)) for w, u in zip(want, unit))

@@ -116,3 +116,56 @@ def test_opening_removes_thin_parts(spark):
     mask[4, :] = 1
     got = image(J.opening(pixels(spark, mask).withColumn("mask", F.col("v") > 0), 3), "mask", mask.shape)
     assert got[2:7, 2:7].all() and got.sum() == 25
+
+
+@pytest.mark.parametrize("tile", [4, 7, 16])
+@pytest.mark.parametrize("share", [0.45, 0.6, 0.75])
+def test_components_across_tiles_match_flood_fill(spark, tile, share):
+    masks = [np.random.default_rng(int(share * 100) + k).random((23, 31)) < share for k in range(2)]
+    spiral = np.zeros((23, 31), dtype=bool)
+    spiral[::2] = True
+    spiral[1::4, -1] = True
+    spiral[3::4, 0] = True
+    df = pixels(spark, *masks, spiral).withColumn("mask", F.col("v") > 0)
+    got = J.connected_components(df, tile).toPandas()
+    for k, mask in enumerate([*masks, spiral]):
+        grid = np.zeros(mask.shape, dtype=int)
+        own = got[got.image_id == k]
+        grid[own.y, own.x] = own.label
+        assert (grid == components(mask)).all()
+
+
+def test_no_task_labels_more_than_a_tile(spark):
+    mask = np.ones((130, 70))
+    roots = J._tile_roots(pixels(spark, mask).withColumn("mask", F.col("v") > 0), J.TILE)
+    assert roots.select("root").distinct().count() == 3 * 2
+
+
+def dilated(mask, offsets):
+    out = np.zeros_like(mask)
+    for dy, dx in offsets:
+        moved = np.zeros_like(mask)
+        h, w = mask.shape
+        moved[max(0, dy):h + min(0, dy), max(0, dx):w + min(0, dx)] = mask[max(0, -dy):h + min(0, -dy), max(0, -dx):w + min(0, -dx)]
+        out |= moved
+    return out
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_opening_by_a_disk(spark, radius):
+    mask = np.random.default_rng(radius).random((25, 19)) < 0.9
+    offsets = [(y, x) for y in range(-radius, radius + 1) for x in range(-radius, radius + 1) if y * y + x * x <= radius * radius]
+    want = dilated(~dilated(~mask, offsets), offsets)
+    got = J.opening(pixels(spark, mask).withColumn("mask", F.col("v") > 0), radius, "disk")
+    assert (image(got, "mask", mask.shape) == want).all()
+    bright = np.where(mask, 50.0, 3.0)
+    cleaned = J.remove_outer_speckles(pixels(spark, bright), radius)
+    assert (image(cleaned, "v", mask.shape) == np.where(want, bright, 0)).all()
+
+
+def test_wide_outlines_are_widened(spark):
+    grid = np.zeros((3, 1600))
+    grid[:, 700:] = 1
+    got = image(J.outline(pixels(spark, grid)), "v", grid.shape)
+    for row in got:
+        assert row.nonzero()[0].tolist() == [698, 699, 700, 701]

@@ -193,18 +193,22 @@ def slice_coordinates(planes: DataFrame, height: int, width: int) -> DataFrame:
     grid = planes.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn(
         "x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
     )
-    a1, a2 = F.col("y") - number((height - 1) / 2), F.col("x") - number((width - 1) / 2)
-    c0, s0 = rotation(F.col("rot_frontal"))
-    c1, s1 = rotation(F.col("rot_horizontal"))
-    c2, s2 = rotation(F.col("rot_sagittal"))
+    c0, c1, c2 = plane_point(F.col("y"), F.col("x"), height, width, {c: F.col(c) for c in PLANE_COLUMNS})
+    return grid.select(*planes.columns, "y", "x", c0.alias("c0"), c1.alias("c1"), c2.alias("c2"))
+
+
+PLANE_COLUMNS = ("ap", "si", "lr", "rot_frontal", "rot_horizontal", "rot_sagittal")
+
+
+def plane_point(y: Column, x: Column, height: int, width: int, plane: dict[str, Column]) -> tuple[Column, Column, Column]:
+    """Where the pixel (y, x) of a plane of this size lies in the volume."""
+    a1, a2 = y - number((height - 1) / 2), x - number((width - 1) / 2)
+    c0, s0 = rotation(plane["rot_frontal"])
+    c1, s1 = rotation(plane["rot_horizontal"])
+    c2, s2 = rotation(plane["rot_sagittal"])
     b1, b2 = c0 * a1 - s0 * a2, s0 * a1 + c0 * a2
     d0, d2 = -s1 * b2, c1 * b2
-    return grid.select(
-        *planes.columns, "y", "x",
-        (c2 * d0 - s2 * b1 + F.col("ap")).alias("c0"),
-        (s2 * d0 + c2 * b1 + F.col("si")).alias("c1"),
-        (d2 + F.col("lr")).alias("c2"),
-    )
+    return c2 * d0 - s2 * b1 + plane["ap"], s2 * d0 + c2 * b1 + plane["si"], d2 + plane["lr"]
 
 
 def slice_volume(voxels: DataFrame, coordinates: DataFrame, value: str, mode: str = "nearest") -> DataFrame:
@@ -233,13 +237,8 @@ def hemisphere(voxels: DataFrame, width: int) -> DataFrame:
     return voxels.withColumn("hemi", F.when(F.col("x") < width // 2, F.lit(2)).otherwise(F.lit(1)))
 
 
-def registered_values(
-    documents: DataFrame, annotation: DataFrame, shape: Sequence[int], image_height: int, image_width: int
-) -> DataFrame:
-    """(slice_id, y, x, value): for every pixel of the full image the atlas annotation that it lies on.
-
-    ``annotation(slice_id, y, x, value)`` is the slice's atlas plane.  A pixel is taken to the low-resolution
-    image, through affine and spline, and to the nearest pixel of the plane; outside is 0."""
+def _plane_pixels(documents: DataFrame, shape: Sequence[int], image_height: int, image_width: int) -> DataFrame:
+    """(slice_id, iy, ix, y, x): the pixel of the atlas plane on which each pixel of the full image lies."""
     pixels = documents.select("slice_id", "lowres_height", "lowres_width").withColumn(
         "iy", F.explode(F.sequence(F.lit(0), F.lit(image_height - 1)))
     ).withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(image_width - 1))))
@@ -248,26 +247,73 @@ def registered_values(
         F.floor(F.col("ix") * F.col("lowres_width") / image_width).cast("double").alias("x"),
         F.floor(F.col("iy") * F.col("lowres_height") / image_height).cast("double").alias("y"),
     )
-    moved = to_atlas(low, documents, shape, until="tps").select("slice_id", "iy", "ix", F.rint("y").cast("int").alias("y"), F.rint("x").cast("int").alias("x"))
+    return to_atlas(low, documents, shape, until="tps").select("slice_id", "iy", "ix", F.rint("y").cast("int").alias("y"), F.rint("x").cast("int").alias("x"))
+
+
+def registered_coordinates(
+    documents: DataFrame, shape: Sequence[int], image_height: int, image_width: int, resolution: Sequence[float] | None = None
+) -> DataFrame:
+    """(slice_id, y, x, c0, c1, c2): for every pixel of the full image the place in the volume, rounded.
+
+    The places are voxels, or microns with a voxel's ``resolution``.  They come from the slice's plane of
+    the volume ``shape``, by its atlas parameters; a pixel outside the plane is at 0, 0, 0."""
+    height, width = shape[1], shape[2]
+    moved = _plane_pixels(documents, shape, image_height, image_width)
+    atlas = documents.select("slice_id", F.col("params.atlas").alias("_a"))
+    plane = {"si": number(height // 2), "lr": number(width // 2)} | {c: F.col(f"_a.{c}") for c in ("ap", "rot_frontal", "rot_horizontal", "rot_sagittal")}
+    inside = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
+    found = moved.join(atlas.filter("_a is not null"), "slice_id")
+    units = resolution or (1.0, 1.0, 1.0)
+    places = [
+        F.when(inside, F.rint(c * number(unit)).cast("long")).otherwise(F.lit(0).cast("long")).alias(f"c{k}")
+        for k, (c, unit) in enumerate(zip(plane_point(F.col("y"), F.col("x"), height, width, plane), units))
+    ]
+    return found.select("slice_id", F.col("iy").alias("y"), F.col("ix").alias("x"), *places)
+
+
+def registered_values(
+    documents: DataFrame, annotation: DataFrame, shape: Sequence[int], image_height: int, image_width: int
+) -> DataFrame:
+    """(slice_id, y, x, value): for every pixel of the full image the atlas annotation that it lies on.
+
+    ``annotation(slice_id, y, x, value)`` is the slice's atlas plane.  A pixel is taken to the low-resolution
+    image, through affine and spline, and to the nearest pixel of the plane; outside is 0."""
+    moved = _plane_pixels(documents, shape, image_height, image_width)
     found = moved.join(annotation.select("slice_id", "y", "x", "value"), ["slice_id", "y", "x"], "left")
     return found.select("slice_id", F.col("iy").alias("y"), F.col("ix").alias("x"), F.coalesce(F.rint("value").cast("long"), F.lit(0)).alias("value"))
 
 
-def warp_image(pixels: DataFrame, documents: DataFrame, height: int, width: int) -> DataFrame:
-    """(slice_id, y, x, v): the image in the atlas frame, by the bilinear value at the inverse of each output
-    pixel; 0 outside.  ``pixels(slice_id, y, x, v)``; only the affine part is inverted in closed form."""
+def warp_image(pixels: DataFrame, documents: DataFrame, height: int, width: int, mode: str = "bilinear") -> DataFrame:
+    """(slice_id, y, x, v): the image ``pixels(slice_id, y, x, v)`` in the atlas frame; 0 outside.
+
+    An output pixel is pulled back by the inverse spline, which runs from the target points to the
+    sources, then by the inverse of the affine part, and takes the ``bilinear`` or ``nearest`` value there."""
+    if mode not in ("bilinear", "nearest"):
+        raise ValueError(f"unknown mode {mode!r}; use bilinear or nearest")
     affine = F.col("params.affine")
     matrix = affine_inverse(affine_matrix(affine, image_centre(F.col("lowres_width")), image_centre(F.col("lowres_height"))))
     grid = documents.select("slice_id", *[m.alias(f"_m{i}") for i, m in enumerate(matrix)]).withColumn(
         "oy", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))
     ).withColumn("ox", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    sx, sy = apply_affine([F.col(f"_m{i}") for i in range(6)], F.col("ox"), F.col("oy"))
-    at = grid.select("slice_id", "oy", "ox", F.coalesce(sx, F.col("ox")).alias("sx"), F.coalesce(sy, F.col("oy")).alias("sy"))
+    grid = grid.withColumns({"_x": F.col("ox").cast("double"), "_y": F.col("oy").cast("double")})
+    if "tps" in documents.schema["params"].dataType.names:
+        control = documents.select("slice_id", "params.tps.points_src", "params.tps.points_dst")
+        splines = fit_splines(control, inverse=True).withColumnRenamed("slice_id", "_sid")
+        grid = grid.join(splines, F.col("slice_id") == F.col("_sid"), "left")
+        x, y = apply_spline(F.col("knots"), F.col("flat"), F.col("_x"), F.col("_y"))
+        grid = grid.withColumns({"_tx": x, "_ty": y}).drop("_x", "_y", "knots", "flat", "_sid").withColumnsRenamed({"_tx": "_x", "_ty": "_y"})
+    sx, sy = apply_affine([F.col(f"_m{i}") for i in range(6)], F.col("_x"), F.col("_y"))
+    at = grid.select("slice_id", "oy", "ox", F.coalesce(sx, F.col("_x")).alias("sx"), F.coalesce(sy, F.col("_y")).alias("sy"))
+    image = pixels.select("slice_id", "y", "x", "v")
+    if mode == "nearest":
+        keyed = at.select("slice_id", "oy", "ox", F.rint("sy").cast("int").alias("y"), F.rint("sx").cast("int").alias("x"))
+        found = keyed.join(image, ["slice_id", "y", "x"], "left")
+        return found.select("slice_id", F.col("oy").alias("y"), F.col("ox").alias("x"), F.coalesce(F.col("v"), F.lit(0)).alias("v"))
     corners = at.withColumn("_dy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_dx", F.explode(F.array(F.lit(0), F.lit(1))))
     py, px = F.col("sy") - F.floor("sy"), F.col("sx") - F.floor("sx")
     weight = F.when(F.col("_dy") == 1, py).otherwise(number(1) - py) * F.when(F.col("_dx") == 1, px).otherwise(number(1) - px)
     keyed = corners.select("slice_id", "oy", "ox", weight.alias("_w"), (F.floor("sy") + F.col("_dy")).cast("int").alias("y"), (F.floor("sx") + F.col("_dx")).cast("int").alias("x"))
-    joined = keyed.join(pixels.select("slice_id", "y", "x", "v"), ["slice_id", "y", "x"], "left")
+    joined = keyed.join(image, ["slice_id", "y", "x"], "left")
     return joined.groupBy("slice_id", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.coalesce(F.col("v"), number(0)) * F.col("_w")).alias("v"))
 
 

@@ -1,7 +1,8 @@
 """Per-image raster operators over pixel tables (image_id, y, x, v).
 
 Neighbourhoods are windows or joins on pixel keys, so images of any number spread over the cluster.
-Connected components take one thumbnail at a time; a thumbnail is at most 1024 x 1024 by definition."""
+Connected components are labelled tile by tile; only links across tile borders are joined, so an
+image of any size is many tasks."""
 
 from __future__ import annotations
 
@@ -11,9 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from voxtally.session import ensure_checkpoint_dir
 from voxtally.functions.columns import clip, min_max_scale, number, to_uint8
 
 IMAGE = "image_id"
+TILE = 64  # side of the square that a task labels at once
+PIXEL_CODE = 1 << 31  # a pixel's code is y * PIXEL_CODE + x
+OUTLINE_SIDE = 512  # a plane n times as long has its outline widened by a square of n
 
 
 def image_sizes(pixels: DataFrame) -> DataFrame:
@@ -146,16 +151,78 @@ def _label(mask: np.ndarray) -> np.ndarray:
     return dense.reshape(height, width) + (0 if (labels == 0).any() else 1)
 
 
-def connected_components(masked: DataFrame) -> DataFrame:
-    """(image_id, y, x, label) of ``masked(image_id, y, x, mask)``: 0 off the mask."""
-    schema = f"{IMAGE} {masked.schema[IMAGE].dataType.simpleString()}, y int, x int, label int"
+def _tile_roots(masked: DataFrame, tile: int) -> DataFrame:
+    """(image_id, y, x, root) of the pixels on the mask: the code of the first pixel of its part in its tile."""
+    schema = f"{IMAGE} {masked.schema[IMAGE].dataType.simpleString()}, y int, x int, root long"
+    tiled = masked.filter("mask").select(IMAGE, "y", "x", F.floor(F.col("y") / tile).alias("_ty"), F.floor(F.col("x") / tile).alias("_tx"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), dtype=bool)
-        grid[pdf["y"], pdf["x"]] = pdf["mask"]
-        return pdf[[IMAGE, "y", "x"]].assign(label=_label(grid)[pdf["y"], pdf["x"]].astype(np.int32))
-
-    return masked.select(IMAGE, "y", "x", "mask").groupBy(IMAGE).applyInPandas(one, schema)
+        y0, x0 = int(pdf["_ty"].iloc[0]) * tile, int(pdf["_tx"].iloc[0]) * tile
+        y, x = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
+        grid = np.zeros((tile, tile), dtype=bool)
+        grid[y, x] = True
+        label = _label(grid)
+        fy, fx = np.divmod(np.flatnonzero(grid), tile)
+        first = np.zeros(label.max() + 1, dtype=np.int64)
+        first[label[fy, fx][::-1]] = ((fy + y0) * PIXEL_CODE + fx + x0)[::-1]
+        return pdf[[IMAGE, "y", "x"]].assign(root=first[label[y, x]])
+
+    return tiled.groupBy(IMAGE, "_ty", "_tx").applyInPandas(one, schema)
+
+
+def _border_links(roots: DataFrame, tile: int) -> DataFrame:
+    """(image_id, a, b): parts of two tiles that have neighbouring pixels."""
+    links = None
+    for axis, other in (("x", "y"), ("y", "x")):
+        last = roots.filter(F.col(axis) % tile == tile - 1).select(IMAGE, F.col(other).alias("_o"), (F.col(axis) + 1).alias("_n"), F.col("root").alias("a"))
+        first = roots.filter(F.col(axis) % tile == 0).select(IMAGE, F.col(other).alias("_o"), F.col(axis).alias("_n"), F.col("root").alias("b"))
+        part = last.join(first, [IMAGE, "_o", "_n"]).select(IMAGE, "a", "b")
+        links = part if links is None else links.unionByName(part)
+    return links.distinct()
+
+
+def _united(links: DataFrame) -> DataFrame:
+    """(image_id, node, least): the smallest node that links lead to from each node of ``links``.
+
+    In each round every node moves to the first of its neighbours and itself in an order that hashing
+    draws anew; links between moved nodes are left.  Rounds follow the logarithm of the longest chain."""
+    ensure_checkpoint_dir(links.sparkSession)
+    links = links.checkpoint()
+    labels, turn = None, 0
+    while not links.isEmpty():
+        turn += 1
+        ways = links.unionByName(links.select(IMAGE, F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: B023
+        near = ways.groupBy(IMAGE, "a").agg(F.min(rank("b")).alias("_near"))
+        moves = near.select(IMAGE, F.col("a").alias("node"), F.least(rank("a"), F.col("_near"))["n"].alias("to")).checkpoint()
+        left = moves.select(IMAGE, F.col("node").alias("a"), F.col("to").alias("_x"))
+        right = moves.select(IMAGE, F.col("node").alias("b"), F.col("to").alias("_y"))
+        moved = links.join(left, [IMAGE, "a"]).join(right, [IMAGE, "b"]).filter("_x <> _y")
+        links = moved.select(IMAGE, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct().checkpoint()
+        if labels is None:
+            labels = moves.select(IMAGE, "node", F.col("to").alias("_at"))
+        else:
+            step = moves.select(IMAGE, F.col("node").alias("_at"), "to")
+            labels = labels.join(step, [IMAGE, "_at"], "left").select(IMAGE, "node", F.coalesce("to", "_at").alias("_at")).checkpoint()
+    if labels is None:
+        return links.select(IMAGE, F.col("a").alias("node"), F.col("b").alias("least"))
+    least = labels.groupBy(IMAGE, "_at").agg(F.min("node").alias("least"))
+    return labels.join(least, [IMAGE, "_at"]).select(IMAGE, "node", "least")
+
+
+def connected_components(masked: DataFrame, tile: int = TILE) -> DataFrame:
+    """(image_id, y, x, label) of ``masked(image_id, y, x, mask)``: 4-neighbour labels from 1 in reading
+    order of their first pixels, 0 off the mask.
+
+    Tiles are labelled in tasks, parts that meet at a border are united, and only parts are ranked."""
+    ensure_checkpoint_dir(masked.sparkSession)
+    roots = _tile_roots(masked, tile).checkpoint()
+    united = _united(_border_links(roots, tile)).withColumnsRenamed({"node": "root"})
+    parts = roots.select(IMAGE, "root").distinct().join(united, [IMAGE, "root"], "left").withColumn("least", F.coalesce("least", "root"))
+    ranked = parts.select(IMAGE, "root", F.dense_rank().over(Window.partitionBy(IMAGE).orderBy("least")).cast("int").alias("label"))
+    found = roots.join(ranked, [IMAGE, "root"]).select(IMAGE, "y", "x", "label")
+    return masked.select(IMAGE, "y", "x").join(found, [IMAGE, "y", "x"], "left").select(
+        IMAGE, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.coalesce("label", F.lit(0)).alias("label"))
 
 
 def tissue_mask(pixels: DataFrame, top: float = 0.85, speckle: float = 0.01) -> DataFrame:
@@ -189,11 +256,23 @@ def _axes() -> list[Window]:
 
 
 def outline(pixels: DataFrame) -> DataFrame:
-    """v = 255 where the value before and behind differ along a row or a column, else 0; borders repeat."""
+    """v = 255 where the value before and behind differ along a row or a column, else 0; borders repeat.
+
+    The outline of a plane of 1024 pixels or more a side is widened by a square that grows with it."""
     differs = F.lit(False)
     for axis in _axes():
         differs = differs | (F.coalesce(F.lead("v").over(axis), F.col("v")) != F.coalesce(F.lag("v").over(axis), F.col("v")))
-    return pixels.select(IMAGE, "y", "x", F.when(differs, F.lit(255)).otherwise(F.lit(0)).alias("v"))
+    lines = pixels.select(IMAGE, "y", "x", differs.cast("int").alias("v"))
+    side = F.floor(F.greatest("height", "width") / OUTLINE_SIDE).cast("int")
+    sizes = image_sizes(pixels).select(IMAGE, F.greatest(side, F.lit(1)).alias("_side"))
+    out = None
+    for k in sorted(r["_side"] for r in sizes.select("_side").distinct().collect()):  # a few different sizes
+        part = lines.join(sizes.filter(F.col("_side") == k), IMAGE, "left_semi")
+        for axis in _axes() if k > 1 else []:
+            part = part.withColumn("v", F.max("v").over(axis.rowsBetween(-(k // 2), k - k // 2 - 1)))
+        out = part if out is None else out.unionByName(part)
+    out = lines if out is None else out
+    return out.select(IMAGE, "y", "x", (F.col("v") * 255).alias("v"))
 
 
 def gradient_norm(pixels: DataFrame, most: float | None = 100) -> DataFrame:
@@ -223,17 +302,43 @@ def sharpness(pixels: DataFrame, scales: int = 3, most: float | None = 100) -> D
     return all_.groupBy(IMAGE).agg(F.try_divide(F.sum("s"), F.lit(scales)).alias("sharpness"))
 
 
-def opening(masked: DataFrame, size: int = 5) -> DataFrame:
-    """Erosion, then dilation of ``masked(image_id, y, x, mask)`` by a size x size square; outside counts
-    as set for the erosion and as unset for the dilation."""
-    half = size // 2
+def opening(masked: DataFrame, size: int = 5, shape: str = "square") -> DataFrame:
+    """Erosion, then dilation of ``masked(image_id, y, x, mask)`` by a size x size square, or by a disk of
+    the radius ``size``; outside counts as set for the erosion and as unset for the dilation."""
+    if shape not in ("square", "disk"):
+        raise ValueError(f"unknown shape {shape!r}; use square or disk")
     found = masked.select(IMAGE, "y", "x", F.col("mask").cast("int").alias("mask"))
-    for pick in (F.min, F.max):
-        for axis in _axes():
-            found = found.withColumn("mask", pick("mask").over(axis.rowsBetween(-half, half)))
+    row, column = _axes()
+    for pick, join in ((F.min, F.least), (F.max, F.greatest)):
+        if shape == "square":
+            half = size // 2
+            for axis in (row, column):
+                found = found.withColumn("mask", pick("mask").over(axis.rangeBetween(-half, half)))
+            continue
+        # a disk does not separate: each of its rows is a run of its own, met by rows above and below
+        runs = {dy: int((size * size - dy * dy) ** 0.5) for dy in range(size + 1)}
+        found = found.withColumns({f"_r{w}": pick("mask").over(row.rangeBetween(-w, w)) for w in sorted(set(runs.values()))})
+        met = [F.col(f"_r{runs[0]}")]
+        for dy in range(1, size + 1):
+            near = F.col(f"_r{runs[dy]}")
+            met += [pick(near).over(column.rangeBetween(k, k)) for k in (-dy, dy)]
+        found = found.select(IMAGE, "y", "x", join(*met).alias("mask"))  # rows outside are null and do not count
     return found.withColumn("mask", F.col("mask") == 1)
 
 
+def remove_outer_speckles(pixels: DataFrame, radius: int = 3, above: float = 10) -> DataFrame:
+    """v set to 0 where the opening of the bright pixels by a disk has none."""
+    kept = opening(pixels.withColumn("mask", F.col("v") > number(above)), radius, "disk")
+    return pixels.join(kept, [IMAGE, "y", "x"]).withColumn("v", F.when(F.col("mask"), F.col("v")).otherwise(F.lit(0).cast(pixels.schema["v"].dataType))).drop("mask")
+
+
+def plane_bbox(voxels: DataFrame, value: str = "struct_id", size: int = 5) -> DataFrame:
+    """(z, x, y, w, h): the box of what an opening leaves of each plane's annotated voxels ``voxels(z, y, x, value)``."""
+    planes = voxels.select(F.col("z").alias(IMAGE), "y", "x", (F.col(value) > 0).alias("mask"))
+    kept = opening(planes, size).withColumn("v", F.col("mask").cast("int"))
+    return nonzero_bbox(kept.drop("mask")).withColumnRenamed(IMAGE, "z")
+
+
 def padded_box(box: Column, height: Column, width: Column, share: float = 0.1) -> Column:
     """A box (x, y, w, h) with padding, inside the image; struct(x0, y0, x1, y1)."""
     w, h = F.greatest(box["w"], F.lit(1)), F.greatest(box["h"], F.lit(1))

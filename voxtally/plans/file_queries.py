@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxtally.functions.columns import number
 from voxtally.plans import project as P
 from voxtally.plans.registry import R, STRUCTURES, query, rounded
+from voxtally.session import ensure_checkpoint_dir
 from voxtally.sources import readers, writers
-from voxtally.streaming.counts import stream_region_counts
+from voxtally.streaming.counts import keep_counts, latest_counts, stream_region_counts
 
 IMAGE_HEIGHT, IMAGE_WIDTH, PIXEL = 480, 640, 2.0
 
@@ -143,9 +146,29 @@ def subject_rows(spark, sf):
     return rows.select("name", F.element_at("subject_info.conditions", "segment").alias("segment"), F.size("slice_infos").alias("n_slices"), F.array_join(ids, ",").alias("slices"))
 
 
-@query("region_counts_of_events", f"""WITH {STRUCTURES} SELECT user_id AS animal_id, c.ancestor_id AS struct_id, count(*) AS cells
-  FROM events JOIN closure c ON c.id = 100 + event_id % 25 GROUP BY ALL""")
+EVENT_COUNTS = f"""WITH {STRUCTURES} SELECT user_id AS animal_id, c.ancestor_id AS struct_id, count(*) AS cells
+  FROM events JOIN closure c ON c.id = 100 + event_id % 25 GROUP BY ALL"""
+
+
+@query("region_counts_of_events", EVENT_COUNTS)
 def region_counts_of_events(spark, sf):
     """The batch form of the streamed counts."""
     detections = P.table(spark, sf, "events").select(F.col("user_id").alias("animal_id"), (F.col("event_id") % 25 + 100).cast("int").alias("struct_id"))
     return stream_region_counts(detections, P.structures(spark, sf).select("id", F.explode("path").alias("ancestor_id")))
+
+
+@query("region_counts_stream", EVENT_COUNTS)
+def region_counts_stream(spark, sf):
+    """The same counts by a stream over the event files, whose state and batches are in the checkpoint folder."""
+    folder = f"{ensure_checkpoint_dir(spark)}/events-{uuid.uuid4().hex}"
+    path = f"{sf}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    if spark.read.parquet(path).inputFiles()[0].endswith("/events.parquet"):  # one file, of which a stream sees the folder
+        events = reader.option("pathGlobFilter", "events.parquet").parquet(sf)
+    else:
+        events = reader.parquet(path)
+    detections = events.select(F.col("user_id").alias("animal_id"), (F.col("event_id") % 25 + 100).cast("int").alias("struct_id"))
+    counts = stream_region_counts(detections, P.structures(spark, sf).select("id", F.explode("path").alias("ancestor_id")))
+    keep_counts(counts, f"{folder}/counts", f"{folder}/state").awaitTermination()
+    return latest_counts(spark, f"{folder}/counts")

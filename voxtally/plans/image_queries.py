@@ -42,7 +42,10 @@ pixels AS (SELECT image_id, CAST(k // 8 AS INTEGER) AS y, CAST(k % 8 AS INTEGER)
 
 
 def documents(spark, sf):
-    return P.slice_documents(spark, sf).withColumns({"lowres_height": F.lit(HEIGHT), "lowres_width": F.lit(WIDTH)})
+    """Slices registered without a spline."""
+    docs = P.slice_documents(spark, sf)
+    plain = F.col("params").withField("tps", F.lit(None).cast(docs.schema["params"].dataType["tps"].dataType))
+    return docs.withColumns({"params": plain, "lowres_height": F.lit(HEIGHT), "lowres_width": F.lit(WIDTH)})
 
 
 def points(spark, sf):
@@ -197,6 +200,43 @@ def registered_values(spark, sf):
     return T.registered_values(docs, plane, SHAPE, 6, 8)
 
 
+def _places_sql(resolution: tuple[float, float, float]) -> str:
+    """Each image pixel's pixel (x, y) of the slice's plane, and where that lies in the volume."""
+    depth, height, width = SHAPE
+    ma, mb = (height - 1) / 2, (width - 1) / 2
+    places = {
+        "c0": f"cos(rx) * (-sin(ry) * (x - {mb})) - sin(rx) * (y - {ma}) + ap",
+        "c1": f"sin(rx) * (-sin(ry) * (x - {mb})) + cos(rx) * (y - {ma}) + {height // 2}",
+        "c2": f"cos(ry) * (x - {mb}) + {width // 2}",
+    }
+    inside = f"x BETWEEN 0 AND {width - 1} AND y BETWEEN 0 AND {height - 1}"
+    columns = ", ".join(f"CAST(CASE WHEN {inside} THEN round_even(({e}) * CAST({u} AS DOUBLE), 0) ELSE 0 END AS BIGINT) AS {c}" for (c, e), u in zip(places.items(), resolution))
+    return f"""WITH {PARAMS}, g AS (SELECT params.*, CAST(y.generate_series AS INTEGER) AS iy, CAST(x.generate_series AS INTEGER) AS ix
+    FROM params, generate_series(0, 5) y, generate_series(0, 7) x WHERE has_atlas),
+  low AS (SELECT *, floor(ix * 4 / 8) AS lx, floor(iy * 3 / 6) AS ly FROM g),
+  pt AS (SELECT slice_id, iy, ix, ap, rx, ry, CAST(round_even(1 + sx * (cos(a) * (lx - 1) - sin(a) * (ly - 1)) + tx, 0) AS INTEGER) AS x,
+    CAST(round_even(1 + sy * (sin(a) * (lx - 1) + cos(a) * (ly - 1)) + ty, 0) AS INTEGER) AS y FROM low)
+  SELECT slice_id, iy AS y, ix AS x, {columns} FROM pt"""
+
+
+MICRONS = (50.0, 25.0, 25.0)
+
+
+def _places(spark, sf, resolution=None):
+    docs = documents(spark, sf).withColumns({"lowres_height": F.lit(3), "lowres_width": F.lit(4)})
+    return T.registered_coordinates(docs, SHAPE, 6, 8, resolution)
+
+
+@query("registered_pixel_coordinates", _places_sql((1.0, 1.0, 1.0)))
+def registered_pixel_coordinates(spark, sf):
+    return _places(spark, sf)
+
+
+@query("registered_micron_coordinates", _places_sql(MICRONS))
+def registered_micron_coordinates(spark, sf):
+    return _places(spark, sf, MICRONS)
+
+
 def small_documents(spark, sf):
     key = F.col("vec_id")
     affine = F.struct((key % 9).cast("double").alias("angle"), (key % 3).cast("double").alias("tx"), number(1).alias("ty"), number(1.25).alias("sx"), number(1).alias("sy"))
@@ -216,6 +256,28 @@ def warp_image(spark, sf):
     return rounded(T.warp_image(pixels, small_documents(spark, sf), 8, 8))
 
 
+@query("warp_image_nearest", f"""WITH {PIXELS}, p AS (SELECT vec_id AS image_id, radians(CAST(vec_id % 9 AS DOUBLE)) AS t, CAST(vec_id % 3 AS DOUBLE) AS tx FROM embeddings),
+  g AS (SELECT p.*, oy.generate_series AS oy, ox.generate_series AS ox, (ox.generate_series - 3 - tx) / CAST(1.25 AS DOUBLE) AS u, oy.generate_series - 3 - 1 AS w
+    FROM p, generate_series(0, 7) oy, generate_series(0, 7) ox),
+  s AS (SELECT image_id, oy, ox, CAST(round_even(3 + cos(t) * u + sin(t) * w, 0) AS INTEGER) AS x, CAST(round_even(3 - sin(t) * u + cos(t) * w, 0) AS INTEGER) AS y FROM g)
+  SELECT s.image_id AS slice_id, CAST(oy AS INTEGER) AS y, CAST(ox AS INTEGER) AS x, {R('coalesce(i.v, 0)')} AS v
+  FROM s LEFT JOIN pixels i ON i.image_id = s.image_id AND i.y = s.y AND i.x = s.x""")
+def warp_image_nearest(spark, sf):
+    pixels = P.pixels(spark, sf).withColumnRenamed("image_id", "slice_id")
+    return rounded(T.warp_image(pixels, small_documents(spark, sf), 8, 8, "nearest"))
+
+
+@query("warp_image_spline")
+def warp_image_spline(spark, sf):
+    """Through the inverse of a spline of nine control points, then that of the affine part."""
+    i, key = F.sequence(F.lit(0), F.lit(8)), F.col("slice_id")
+    src = F.transform(i, lambda k: F.array((k % 3 * 4).cast("double"), (F.floor(k / 3) * 4).cast("double")))
+    dst = F.transform(i, lambda k: F.array(k % 3 * 4 + (key + k) % 3 / number(4), F.floor(k / 3) * 4 + (key * 5 + k) % 4 / number(4)))
+    docs = small_documents(spark, sf).withColumn("params", F.struct("params.affine", F.struct(src.alias("points_src"), dst.alias("points_dst")).alias("tps")))
+    pixels = P.pixels(spark, sf).withColumnRenamed("image_id", "slice_id")
+    return rounded(T.warp_image(pixels, docs, 8, 8))
+
+
 # ------------------------------------------------------------------ pixels
 @query("normalize_minmax", f"""WITH {PIXELS}, e AS (SELECT image_id, min(v) AS a, max(v) AS b FROM pixels GROUP BY 1)
   SELECT image_id, y, x, {R('(v - a) / (b - a)')} AS v FROM pixels JOIN e USING (image_id)""")
@@ -343,3 +405,57 @@ def sharpness(spark, sf):
   SELECT a.image_id, a.y, a.x, max(b.m) = 1 AS mask FROM e a JOIN e b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL""")
 def opening(spark, sf):
     return J.opening(P.pixels(spark, sf).withColumn("mask", F.col("v") > number(-0.15)), 3)
+
+
+@query("opening_disk", f"""WITH {PIXELS}, m AS (SELECT image_id, y, x, CASE WHEN v > CAST(-0.15 AS DOUBLE) THEN 1 ELSE 0 END AS m FROM pixels),
+  e AS (SELECT a.image_id, a.y, a.x, min(b.m) AS m FROM m a JOIN m b ON a.image_id = b.image_id AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 4 GROUP BY ALL)
+  SELECT a.image_id, a.y, a.x, max(b.m) = 1 AS mask FROM e a JOIN e b ON a.image_id = b.image_id AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 4 GROUP BY ALL""")
+def opening_disk(spark, sf):
+    return J.opening(P.pixels(spark, sf).withColumn("mask", F.col("v") > number(-0.15)), 2, "disk")
+
+
+ANNOTATED = "abs(x - 7 - z % 2) + abs(y - 8) < 5 + z % 4 OR (x = 15 AND y < 3)"
+
+
+@query("plane_bbox", f"""WITH {VOXELS}, m AS (SELECT z, y, x, CASE WHEN {ANNOTATED} THEN 1 ELSE 0 END AS m FROM voxels),
+  e AS (SELECT a.z, a.y, a.x, min(b.m) AS m FROM m a JOIN m b ON a.z = b.z AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL),
+  d AS (SELECT a.z, a.y, a.x, max(b.m) AS m FROM e a JOIN e b ON a.z = b.z AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL),
+  lit AS (SELECT z, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM d WHERE m = 1 GROUP BY z)
+  SELECT s.z, coalesce(x0, 0) AS x, coalesce(y0, 0) AS y, coalesce(x1 + 1 - x0, w) AS w, coalesce(y1 + 1 - y0, h) AS h
+  FROM (SELECT z, max(x) + 1 AS w, max(y) + 1 AS h FROM voxels GROUP BY z) s LEFT JOIN lit USING (z)""")
+def plane_bbox(spark, sf):
+    """The box of each atlas plane's annotation."""
+    voxels = P.voxels(spark, sf).withColumn("struct_id", F.when(F.expr(ANNOTATED), F.col("struct_id")).otherwise(F.lit(0)))
+    return J.plane_bbox(voxels)
+
+
+@query("outline_wide", f"""WITH s AS (SELECT o_orderkey // 1200 AS image_id, CAST(o_orderkey % 1200 AS INTEGER) AS x, CAST(y.generate_series AS INTEGER) AS y, (o_orderkey + y.generate_series * 7) // 90 % 3 AS v
+    FROM orders, generate_series(0, 3) y),
+  d AS (SELECT image_id, y, x, CASE WHEN coalesce(lead(v) OVER r, v) <> coalesce(lag(v) OVER r, v) OR coalesce(lead(v) OVER c, v) <> coalesce(lag(v) OVER c, v) THEN 255 ELSE 0 END AS v FROM s
+    WINDOW r AS (PARTITION BY image_id, y ORDER BY x), c AS (PARTITION BY image_id, x ORDER BY y)),
+  k AS (SELECT image_id, (max(x) + 1) // 512 AS k FROM s GROUP BY 1),
+  a AS (SELECT image_id, y, x, v, max(v) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS w FROM d),
+  b AS (SELECT image_id, y, x, v, max(w) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS w FROM a)
+  SELECT image_id, y, x, CASE WHEN k > 1 THEN w ELSE v END AS v FROM b JOIN k USING (image_id)""")
+def outline_wide(spark, sf):
+    """Planes of 1200 pixels, whose outlines are widened, and a narrower one."""
+    key = F.col("o_orderkey")
+    rows = P.table(spark, sf, "orders").select(F.floor(key / 1200).alias("image_id"), (key % 1200).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("y"), key.alias("k"))
+    return J.outline(rows.select("image_id", "y", "x", (F.floor((F.col("k") + F.col("y") * 7) / 90) % 3).alias("v")))
+
+
+@query("filter_on_annotation", f"""WITH {POINTS}, {PARAMS}, {AFFINE},
+  plane AS (SELECT DISTINCT l_orderkey AS slice_id, CAST(l_linenumber * 60 + b.generate_series AS INTEGER) AS y, CAST(l_partkey % 16 * 40 + c.generate_series AS INTEGER) AS x
+    FROM lineitem, generate_series(0, 5) b, generate_series(0, 5) c)
+  SELECT m.slice_id, m.n FROM moved m JOIN plane p ON p.slice_id = m.slice_id AND p.y = CAST(trunc(m.y) AS INTEGER) AND p.x = CAST(trunc(m.x) AS INTEGER)
+  WHERE m.x >= 0 AND m.x < {WIDTH} AND m.y >= 0 AND m.y < {HEIGHT}""")
+def filter_on_annotation(spark, sf):
+    """Cells whose place on the registered slice is annotated."""
+    cells = points(spark, sf).withColumn("cell_id", F.concat_ws(" ", "slice_id", "n", "x", "y"))
+    on_slice = T.to_atlas(cells, documents(spark, sf), SHAPE, until="affine").select("cell_id", "slice_id", "x", "y")
+    square = F.sequence(F.lit(0), F.lit(5))
+    plane = P.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("slice_id"), (F.col("l_linenumber") * 60).alias("_y"), (F.col("l_partkey") % 16 * 40).alias("_x"))
+    plane = plane.withColumn("b", F.explode(square)).withColumn("c", F.explode(square))
+    plane = plane.select("slice_id", (F.col("_y") + F.col("b")).alias("y"), (F.col("_x") + F.col("c")).alias("x"), F.lit(1).alias("struct_id"))
+    sizes = documents(spark, sf).select("slice_id", F.lit(HEIGHT).alias("height"), F.lit(WIDTH).alias("width"))
+    return C.filter_on_annotation(cells, on_slice, plane, sizes).select("slice_id", "n")

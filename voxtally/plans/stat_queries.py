@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxtally.functions import special
 from voxtally.functions.columns import number
+from voxtally.operators import analysis as A
 from voxtally.operators import network as N
 from voxtally.operators import pls as L
 from voxtally.operators import regions as G
@@ -552,3 +553,47 @@ def row_mask(spark, sf):
     m, rows = _behaviour_rows(spark, sf)
     y = F.when(F.get("x", F.lit(len(m.features))) >= 0, F.get("x", F.lit(len(m.features))))
     return L.row_mask(rows.withColumn("y", F.array(y))).select("animal_id")
+
+
+@query("pls_regression_repeats")
+def pls_regression_repeats(spark, sf):
+    """Three repeats of each behaviour, redrawn in every bootstrap."""
+    m, rows = _behaviour_rows(spark, sf)
+    n = len(m.features)
+    repeats = F.flatten(F.transform(F.slice("x", n + 1, 2), lambda v: F.array(v, v * number(1.1) + number(1), v * number(0.95) - number(2))))
+    deep = rows.withColumn("x", F.concat(F.slice("x", 1, n), repeats))
+    result = L.pls_regression(deep, m.features, ["balance", "slices"], 2, depth=3, n_perm=N_PERM, n_boot=N_BOOT_PLS, seed=SEED)
+    return rounded(result["weights"], 6)
+
+
+@query("behavioral_split_half")
+def behavioral_split_half(spark, sf):
+    m, rows = _behaviour_rows(spark, sf)
+    result = L.behavioral_pls(
+        rows, m.sizes, m.features, ["balance", "slices"], m.groups, n_perm=N_PERM, n_boot=0, n_split=N_SPLIT, test_split=None, seed=SEED)
+    return rounded(result["split"], 5)
+
+
+@query("project_pls")
+def project_pls(spark, sf):
+    """The report sheets of a project whose valid slices are all registered, as rows."""
+    docs = P.slice_documents(spark, sf)
+    docs = docs.join(S.missing_params(docs).select("slice_id"), "slice_id", "left_anti")
+    sheets = A.project_pls(docs, P.subjects(spark, sf), P.results(spark, sf), "condition", "cells", MIN_PER_GROUP, subject_condition="segment", n_perm=N_PERM, n_boot=N_BOOT_PLS, seed=SEED)
+    none = F.lit(None).cast("string")
+    parts = [
+        sheets["lv_p_value"].select(F.lit("lv_p_value").alias("sheet"), none.alias("name"), "lv", F.col("p_value").alias("value"), F.lit(None).cast("double").alias("stderr")),
+        sheets["estimated_lv1"].select(F.lit("estimated_lv1"), "condition", "lv", "estimate", "stderr"),
+        sheets["pls_salience"].select(F.lit("pls_salience"), "acronym", "lv", "salience", "stderr"),
+    ]
+    return rounded(parts[0].union(parts[1]).union(parts[2]), 5)
+
+
+@query("normal_cdf", f"""WITH z AS (SELECT l_orderkey, l_linenumber, (l_partkey % 2001 - 1000) / CAST(200 AS DOUBLE) AS z FROM lineitem),
+  d AS (SELECT DISTINCT z FROM z), s AS (SELECT unnest(range(401)) AS i),
+  area AS (SELECT z, 0.5 + z / 1200 / sqrt(2 * pi()) * sum(CASE WHEN i = 0 OR i = 400 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z * i / 400, 2) / 2)) AS p FROM d, s GROUP BY z)
+  SELECT l_orderkey, l_linenumber, {R('p', 5)} AS p FROM z JOIN area USING (z)""")
+def normal_cdf(spark, sf):
+    """The share of a standard normal below each point; the twin integrates by Simpson's rule."""
+    line = P.table(spark, sf, "lineitem")
+    return rounded(line.select("l_orderkey", "l_linenumber", special.normal_cdf((F.col("l_partkey") % 2001 - 1000).cast("double") / number(200)).alias("p")), 5)
