@@ -31,6 +31,7 @@ LENGTH = 50
 SEED = 20
 CHUNK = 2 << 20
 BATCH = 2 << 20
+BUCKET = 3 << 20  # bytes of text for each bucket, so that what one holds does not grow with the input
 TAG = 4
 _CODEC = pa.Codec("zstd", compression_level=3)
 LONGEST = 64
@@ -357,7 +358,7 @@ def make_chunks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     return settle(docs.mapInArrow(run, "chunk long, payload binary, rest binary"), "chunks")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, length: int = LENGTH, seed: int = SEED, chunk: int = CHUNK, batch: int = BATCH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = False, length: int = LENGTH, seed: int = SEED, chunk: int = CHUNK, batch: int = BATCH, bucket: int = BUCKET) -> DataFrame:
     """`docs` without the bytes of every `length`-byte string that a smaller id's text holds.
 
     Strings are judged on the input and never cross rows. With `report`, (id, n_bytes,
@@ -370,7 +371,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if report:
         docs = docs.select(id_col, text_col)
     chunks = make_chunks(docs, id_col, text_col, chunk)
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * partitions, -(-chunks.count() * chunk // bucket))
     places = covered_places(chunks, buckets, length, seed, batch)
     at_text = docs.columns.index(text_col)
     id_field = docs.schema[id_col]
