@@ -54,6 +54,28 @@ def test_normaliser_follows_the_compiled_map(rule):
         assert source[-1] <= len(text.encode())
 
 
+def test_an_empty_map_takes_whole_arrays_to_the_same_end():
+    normalizer = sentence_pieces.load(sentence_pieces.model_path()).normalizer
+    assert not normalizer.map.units
+    for text in [*TEXTS, "", " a", "a ", "▁ ▁", " " * 40]:
+        normal, source = normalizer(text.encode())
+        out, notes = "▁".encode() if text else b"", [0] * (3 if text else 0)
+        for start, _, new in normalizer.steps(text.encode()):
+            new = "▁".encode() if new == b" " else new
+            out += new
+            notes += [start + k * (new != "▁".encode() or text.encode()[start:start + 1] != b" ") for k in range(len(new))]
+        assert normal == out
+        assert source.tolist() == [*notes, len(text.encode())]
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "w" * 1_000_000, "some words " * 200_000])
+def test_very_long_texts(documents, library, text):
+    got = sentence_pieces.encode(documents([(1, text)])).first()
+    ids = library.encode(text)
+    assert got["n_tokens"] == len(ids) and list(got["ids"]) == ids
+    assert got["span_ends"][-1] == len(text) and got["decoded"] == library.decode(ids)
+
+
 def test_empty_table(documents):
     empty = documents([(1, "x")]).where(F.lit(False))
     assert sentence_pieces.encode(empty, digests=True).count() == 0

@@ -111,6 +111,8 @@ class Normalizer:
         Squeezing takes leading and trailing spaces away and makes runs of them one.
         """
         space = META.encode() if self.escape else b" "
+        if not self.map.units and not self.squeeze:
+            return self.unmapped(text, space)
         out = bytearray()
         source: list[int] = []
         steps = list(self.steps(text))
@@ -140,6 +142,16 @@ class Normalizer:
         return bytes(out), np.array([*source, end], dtype=np.int64)
 
 
+    def unmapped(self, text: bytes, space: bytes) -> tuple[bytes, np.ndarray]:
+        """The same for an empty map, in which every character stands for itself: whole arrays at a time."""
+        if not text:
+            return b"", np.zeros(1, dtype=np.int64)
+        lead = space if self.prefix else b""
+        wide = np.where(np.frombuffer(text, np.uint8) == 32, len(space), 1)
+        source = np.concatenate([np.zeros(len(lead), np.int64), np.repeat(np.arange(len(text)), wide), [len(text)]])
+        return lead + text.replace(b" ", space), source
+
+
 class Model:
     """A model file: the library's processor, its normaliser, and its pieces' lengths."""
 
@@ -155,23 +167,14 @@ class Model:
         surfaces = [p[1].decode() for p in pieces]
         self.lengths = np.where(kinds == 6, 1, [len(x.encode()) for x in surfaces]).astype(np.int64)
         self.unknown = kinds == 2
-        spaces = np.array([x.count(META) for x in surfaces])
-        self.sources = np.where(kinds == 6, 1, self.lengths - (len(META.encode()) - 1) * spaces)
-        same = not self.normalizer.map.units and not self.normalizer.squeeze and self.normalizer.escape
-        self.plain = same and bool((kinds == 6).sum() == 256)
 
     def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
         """Where each piece ends in the original UTF-8 bytes; a piece begins where the last ended.
 
-        With no character map and byte pieces for whatever the vocabulary lacks, a piece's
-        source is as long as its own bytes with each meta symbol a space, and the added
-        first symbol has none; a meta symbol of the text itself is told apart by walking.
+        Pieces tile the normalised bytes, whose sources the normaliser has noted.
         """
         if not len(ids):
             return np.zeros(0, dtype=np.int64)
-        if self.plain and META not in text:
-            ends = np.cumsum(self.sources[ids])
-            return ends - 1 if self.normalizer.prefix else ends
         normal, source = self.normalizer(text.encode())
         lengths = self.lengths[ids].copy()
         if self.unknown[ids].any():
