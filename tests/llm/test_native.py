@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from voxtally.llm import licences, line_templates, sharding
 
@@ -53,6 +56,28 @@ def test_licence_scan_ignores_case_punctuation_copyright_and_spelling(documents)
     assert rows_of(df, ["doc_id", "digest", "licence", "n_licence_lines", "line_licences"]) == twin_named(rows, licences.scan_sql(), ["doc_id", "digest", "licence", "n_licence_lines", "line_licences"])
 
 
+def test_known_texts_are_found_whole_and_as_runs_of_lines(documents):
+    rows = [(k, text) for k, (_, text) in enumerate(licences.KNOWN)]
+    wrapped = [(100 + k, f"Some project\n\nCopyright 2020 X\n{text}\n\nend of file") for k, (_, text) in enumerate(licences.KNOWN)]
+    other = [(200, licences.BSD_2), (201, licences.MIT.split("\n")[0]), (202, "\n".join([licences.ZLIB] * 3)), (203, None), (204, "")]
+    df = licences.scan(documents(rows + wrapped + other))
+    python_free(df)
+    got = {r["doc_id"]: r for r in df.collect()}
+    for k, (name, _) in enumerate(licences.KNOWN):
+        assert got[k]["licence"] == name
+        assert got[100 + k]["licence"] is None and name in got[100 + k]["line_licences"].split(",")
+    assert got[200]["line_licences"] == got[201]["line_licences"] == ""
+    assert (got[202]["n_licence_lines"], got[202]["line_licences"]) == (3, "Zlib")
+    names = ["doc_id", "digest", "licence", "n_licence_lines", "line_licences"]
+    assert rows_of(df, names) == twin_named(rows + wrapped + other, licences.scan_sql(), names)
+
+
+@pytest.mark.parametrize("text", ["x" * 2_000_000, " " * 2_000_000, "\n" * 200_000, "a b\n" * 200_000])
+def test_licence_scan_of_very_long_texts(documents, text):
+    got = licences.scan(documents([(1, text), (2, licences.MIT)])).collect()
+    assert {r["doc_id"]: r["licence"] for r in got} == {1: None, 2: "MIT"}
+
+
 def twin_named(rows, sql, names):
     return sorted(({n: r[n] for n in names} for r in twin(rows, sql)), key=repr)
 
@@ -78,7 +103,7 @@ def boilerplate():
     return [*rows, (200, rows[7][1]), (201, rows[7][1]), (202, rows[7][1]), (7, rows[7][1])]
 
 
-@pytest.mark.parametrize("settings", [{}, {"share": 0.1}, {"share": 0.05, "leading": 2, "fixed": 0.5}])
+@pytest.mark.parametrize("settings", [{}, {"texts": 3}, {"texts": 12}, {"texts": 6, "leading": 2, "fixed": 0.5}])
 def test_line_templates_match_sql(documents, settings):
     rows = boilerplate()
     df = line_templates.report(documents(rows), **settings)
@@ -90,7 +115,7 @@ def test_line_templates_match_sql(documents, settings):
 def test_recurring_templates_go_and_prose_stays(documents):
     rows = boilerplate()
     df = documents(rows)
-    got = {r["doc_id"]: r["text"] for r in line_templates.drop_templates(df, share=0.1).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_templates(df, texts=10).collect()}
     assert line_templates.drop_templates(df).schema.names == df.columns
     assert not any("posted on" in t or "All rights" in t or "weekly letter" in t for t in got.values())
     assert got[200] == got[7]
@@ -110,11 +135,48 @@ def test_a_text_of_many_forms_counts_once_for_its_template(documents):
         *((7 + k, f"disk beta held block {w} today {w}") for k, w in enumerate(["pink", "grey"])),
     ]
     footers = [(20 + k, "\n".join(f"seen by gamma house for {w}" for w in words[2 * k : 2 * k + 2])) for k in range(3)]
-    df = line_templates.drop_templates(documents(rows + footers))
+    df = line_templates.drop_templates(documents(rows + footers), texts=3)
     python_free(df)
     got = {r["doc_id"]: r["text"] for r in df.collect()}
     assert got == {i: t for i, t in rows} | {i: "" for i, _ in footers}
-    assert {r["doc_id"]: r["text"] for r in line_templates.drop_templates(documents(rows + footers[:2])).collect()} == dict(rows + footers[:2])
+    assert {r["doc_id"]: r["text"] for r in line_templates.drop_templates(documents(rows + footers[:2]), texts=3).collect()} == dict(rows + footers[:2])
+    names = ["doc_id", "n_lines", "n_kept", "kept_sha256"]
+    for some in (rows + footers, rows + footers[:2]):
+        assert rows_of(line_templates.report(documents(some), texts=3), names) == twin_named(some, line_templates.report_sql(texts=3), names)
+
+
+def test_the_same_lines_go_from_a_table_of_any_size(documents):
+    footer = [(i, f"text {'abcdefghijkl'[i]} stands here alone\nsent from the old harbour office") for i in range(line_templates.TEXTS)]
+    rare = [(50 + i, f"more {'abcdefghijkl'[i]} for this one\nprinted on both sides of the paper") for i in range(line_templates.TEXTS - 1)]
+    rng = random.Random(5)
+    others = [(100 + i, " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(9))) for i in range(3000)]
+    for rows in (footer + rare, footer + rare + others):
+        got = {r["doc_id"]: r["text"] for r in line_templates.drop_templates(documents(rows)).collect()}
+        assert not any("harbour" in t for t in got.values())
+        assert sum("both sides" in t for t in got.values()) == len(rare)
+
+
+def test_hot_paths_lines_and_copies(documents):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows = [(i, "page made by the night shift\n" * 3 + f"the last word was {letters(4)} or {letters(5)}") for i in range(900)]
+    rows += [(2000 + i, rows[0][1]) for i in range(700)] + [(4000 + i, None) for i in range(300)]
+    names = ["doc_id", "n_lines", "n_kept", "kept_sha256"]
+    assert rows_of(line_templates.report(documents(rows)), names) == twin_named(rows, line_templates.report_sql(), names)
+
+
+@pytest.mark.parametrize("text", ["x" * 2_000_000, "ab " * 700_000, " " * 2_000_000, "\n" * 300_000, "7" * 1_000_000 + "z" * 1_000_000])
+def test_very_long_lines(documents, text):
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_templates(documents([(1, text), (2, "short 1")])).collect()}
+    assert got == {1: text, 2: "short 1"}
+    assert time.time() - began < 120
+
+
+def test_tokens_with_digits_are_found_from_their_start(spark):
+    lines = ["a1 b c2d 3 e", "1", "ab", " x9  9x ", "é1 中2中 3", "a-1-b2 c", ""]
+    df = spark.createDataFrame([(v,) for v in lines], "line string").select("line", line_templates.masked(F.col("line")).alias("got"))
+    assert all(r["got"] == re.sub(line_templates.WITH_DIGIT_SQL, line_templates.FIELD, r["line"]) for r in df.collect())
 
 
 def test_line_templates_of_odd_rows(documents, odd_rows):
