@@ -30,6 +30,7 @@ CLOSING = 1
 GAP = 0.0005
 ROUNDS = 200
 MOST_BROADCAST = 20_000
+HELD = 1 << 22  # bytes of ids that a task holds before it sends them on
 EPSILON = 1e-7
 
 
@@ -314,21 +315,25 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, size: int, path: s
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                ids = np.array([*packing.encode_text(batch.column(1)[at].as_py() or "", path), CLOSING], dtype="<u4")
-                cut = packing.cut(len(ids), size)
-                raw = [ids[a : a + n].tobytes() for a, n in cut]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([at] * len(cut), pa.int64())),
-                        pa.array([len(ids)] * len(cut), pa.int64()),
-                        pa.array([a for a, _ in cut], pa.int64()),
-                        pa.array([n for _, n in cut], pa.int64()),
-                        pa.array([zlib.crc32(r) for r in raw], pa.int64()),
-                        pa.array(raw, pa.binary()),
-                    ],
-                    names=schema.names,
-                )
+            rows: list[tuple[int, int, int, int, int]] = []
+            raw: list[bytes] = []
+            held = 0
+
+            def flush(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                at, tokens, start, length, crc = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(at), tokens, start, length, crc, pa.array(raw, pa.binary())], names=schema.names)
+
+            for at, text in enumerate(batch.column(1)):
+                ids = np.array([*packing.encode_text(text.as_py() or "", path), CLOSING], dtype="<u4")
+                for start, n in packing.cut(len(ids), size):
+                    raw.append(ids[start : start + n].tobytes())
+                    rows.append((at, len(ids), start, n, zlib.crc32(raw[-1])))
+                held += ids.nbytes
+                if held > HELD:
+                    yield flush()
+                    rows, raw, held = [], [], 0
+            if rows:
+                yield flush()
 
     return docs.select(id_col, text_col).mapInArrow(encode, schema).withColumn("key", F.monotonically_increasing_id())
 
