@@ -81,7 +81,7 @@ def train(buckets: np.ndarray, sizes: np.ndarray, positive: np.ndarray, prior: f
     for step in range(1, steps + 1):
         z = np.bincount(owner, weights=weights[column], minlength=len(sizes)) + weights[-1]
         p = _logistic(z)
-        loss_toxic, loss_clean = np.logaddexp(0, -z), np.logaddexp(0, z)
+        loss_clean = np.logaddexp(0, z)
         clean_risk = loss_clean[~positive].mean() - prior * loss_clean[positive].mean()
         slope = np.where(positive, -prior * p / n_pos, p / n_un)
         if clean_risk >= 0:
@@ -93,7 +93,6 @@ def train(buckets: np.ndarray, sizes: np.ndarray, positive: np.ndarray, prior: f
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient**2
         weights -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-        del loss_toxic
     return Classifier(vocabulary[keep], weights[:-1], float(weights[-1]))
 
 
