@@ -292,16 +292,25 @@ def grid_layout(images: DataFrame) -> DataFrame:
     )
 
 
+def _order_key(df: DataFrame, column: str) -> Column:
+    """A number that orders like the column as far as it goes: a string's first seven bytes."""
+    if dict(df.dtypes)[column] != "string":
+        return F.col(column)
+    head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0")
+    return F.conv(head, 16, 10).cast("long")
+
+
 def with_subject_offsets(heights: DataFrame) -> DataFrame:
     """Row offset of each subject: sum over the earlier subjects of the running maximum height.
 
     The running maximum over an unbounded list of subjects is a two-level scan: subjects are cut
     into ranges, scanned inside each range, and the ranges joined by their entry maximum."""
+    heights = heights.withColumn("_key", _order_key(heights, "subject"))
     ranges = 256
     cuts = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    bounds = heights.agg(F.array_distinct(F.percentile_approx("subject", cuts, F.lit(20_000))).alias("_b"))
+    bounds = heights.agg(F.array_distinct(F.percentile_approx("_key", cuts, F.lit(20_000))).alias("_b"))
     parted = heights.withColumn("_b", bounds.scalar()).withColumn(
-        "_range", F.size(F.filter("_b", lambda b: b < F.col("subject")))
+        "_range", F.size(F.filter("_b", lambda b: b < F.col("_key")))
     ).drop("_b")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     entry = (

@@ -566,14 +566,6 @@ def pls_regression_repeats(spark, sf):
     return rounded(result["weights"], 6)
 
 
-@query("behavioral_split_half")
-def behavioral_split_half(spark, sf):
-    m, rows = _behaviour_rows(spark, sf)
-    result = L.behavioral_pls(
-        rows, m.sizes, m.features, ["balance", "slices"], m.groups, n_perm=N_PERM, n_boot=0, n_split=N_SPLIT, test_split=None, seed=SEED)
-    return rounded(result["split"], 5)
-
-
 @query("project_pls")
 def project_pls(spark, sf):
     """The report sheets of a project whose valid slices are all registered, as rows."""
