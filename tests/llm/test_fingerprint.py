@@ -75,3 +75,62 @@ def test_a_text_of_one_word_over_and_over_keeps_its_likeness():
     for word in ("Orre", "And", "xyz"):
         own, edited = one(" ".join([word] * 3000), " ".join([word] * 2000 + [f"x{i}" for i in range(1000)]))
         assert 0.5 < fingerprint.likeness(own[None], edited[None])[0] < 0.8
+
+
+WORD = (1 << 64) - 1
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & WORD
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & WORD
+    return x ^ (x >> 31)
+
+
+def hashed(word):
+    """A polynomial over scrambled bytes, and the length, scrambled."""
+    base = 0xD1342543DE82EF95
+    total = sum(mixed((b + 1) * 0x9E3779B97F4A7C15 & WORD) * pow(base, k, 1 << 64) for k, b in enumerate(word))
+    return mixed((total + len(word)) & WORD)
+
+
+def plain(text):
+    """The fingerprint of a text by adding up its paragraphs one after the other."""
+    base = 0xD1342543DE82EF95
+    equal, near = [0] * fingerprint.EQUAL, [0] * fingerprint.NEAR
+    raw = text.encode()
+    salts = [mixed(k + 1) for k in range(fingerprint.EQUAL)]
+    for k, salt in enumerate(salts):
+        equal[k] += raw.count(b"\n") * salt
+        equal[k] += sum(mixed(hashed(p) ^ salt) for p in raw.split(b"\n") if p)
+    for paragraph in raw.split(b"\n"):
+        phrases, current = [], []
+        for word in paragraph.split():
+            value = hashed(word)
+            current.append(value)
+            if value % fingerprint.PHRASE == 0:
+                phrases.append(current)
+                current = []
+        phrases.append(current)
+        for phrase in phrases:
+            for at in range(0, len(phrase), fingerprint.LONGEST):
+                part = phrase[at : at + fingerprint.LONGEST]
+                value = mixed(sum(v * pow(base, k, 1 << 64) for k, v in enumerate(part)) & WORD)
+                for hand in range(fingerprint.HANDS):
+                    bits = value >> (16 * hand) & 0xFFFF
+                    near[bits % fingerprint.NEAR] += 1 if bits & 0x8000 else -1
+    out = b"".join((v & WORD).to_bytes(8, "little") for v in equal)
+    return out + b"".join((v & 0xFFFF).to_bytes(2, "little") for v in near)
+
+
+def test_fingerprints_are_sums_over_paragraphs():
+    texts = ["", "one", "a b c\nd e\n\nf", " \t x \n", "ß 中文 😀\nagain ß", "\n\n", " ".join(f"w{k}" for k in range(300)), "same same same " * 40]
+    for text, row in zip(texts, one(*texts), strict=True):
+        assert row.tobytes() == plain(text)
+
+
+def test_very_long_texts():
+    for text in ("x" * 3_000_000, " " * 3_000_000, "\n" * 3_000_000, "some words " * 300_000):
+        assert (one(text) == one(text + "")).all()
+        assert (fingerprint.combine(one(text + "\n"), one("tail")) == one(text + "\ntail")).all()

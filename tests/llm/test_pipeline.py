@@ -41,3 +41,24 @@ def test_odd_documents_pass_through(spark, documents, odd_rows):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.settle(stage(spark, docs, TINY), name)
     assert docs.where("doc_id = 2").count() == 1
+
+
+def test_an_empty_table_and_clashing_columns_pass_through(documents, spark, odd_rows):
+    empty = documents([(1, "x")], extra=()).limit(0)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        empty = corpus_pipeline.settle(stage(spark, empty, TINY), name)
+    assert empty.count() == 0
+    docs = documents(odd_rows)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = corpus_pipeline.settle(stage(spark, docs, TINY), name)
+        assert name == "best_fit_packing" or docs.columns == columns
+    assert docs.where("doc_id = 2").count() == 1
+
+
+def test_very_long_texts_pass_through(documents, spark):
+    rows = [(1, "w" * 1_500_000), (2, " " * 1_500_000), (3, "\n" * 300_000), (4, " ".join(f"word{k}" for k in range(200_000))), (5, "short text of a few words")]
+    docs = documents(rows, extra=())
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = corpus_pipeline.settle(stage(spark, docs, TINY), name)
+    assert docs.select("doc_id").distinct().count() >= 3
