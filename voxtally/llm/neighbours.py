@@ -27,12 +27,12 @@ from pyspark.sql import types as T
 
 from voxtally.llm.common import mix64, settle
 
-PIVOTS = 512
-POSTED = 128  # nearest pivots under which a vector is posted
-READ = 96  # nearest pivots whose files a query reads
-WINDOW = 64
-POOL = 10.0
-LONGER = 8  # a row's part of the pool goes with this power of its length
+PIVOTS = 384
+POSTED = 64  # nearest pivots under which a vector is posted
+READ = 64  # nearest pivots whose files a query reads
+WINDOW = 48
+POOL = 16.0
+LONGER = 6  # a row's part of the pool goes with this power of its length
 BLOCK = 8192
 CELLS = 8  # blocks at least, so that lengths within one are alike
 QUERIES = 4096
