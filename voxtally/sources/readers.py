@@ -131,7 +131,7 @@ def match_detection_files(files: DataFrame, slices: DataFrame, mode: str) -> Dat
         F.call_function("substring_index", F.col("_tail"), F.lit("."), k), F.lit("."), F.regexp_extract(F.get(F.split("_tail", r"\."), k), "^[A-Za-z0-9]+", 0)))
     parts = tails.filter(dots > 0).select("file", "_tail", F.explode(heads).alias("_image"))
     held = parts.select("file", "_image", F.substr("_tail", F.length("_image") + 1).alias("_rest"))
-    both = wanted.join(held, "_image", "left")
+    both = wanted.join(held.hint("merge"), "_image", "left")  # many parts of each name, which look as small as the names
     scene = F.rlike("_rest", F.concat(F.lit(r"(?<!\d)"), F.coalesce(F.col("_scene").cast("string"), F.lit("None")), F.lit(r"(?!\d)")))
     found = both.groupBy("slice_id").agg(
         F.count_distinct("file").cast("int").alias("candidates"), F.max("file").alias("_only"),
