@@ -28,3 +28,41 @@ def test_matching_files_broadcasts_no_parts_of_names(spark):
     found = readers.match_detection_files(files, slices, "qupath")
     assert "Broadcast" not in plan_of(found)
     assert [tuple(r) for r in found.collect()] == [(1, "slice1.czi - scene 1.txt", 1)]
+
+
+def slices(spark):
+    return spark.createDataFrame(
+        [(1, ((0.0, 0.0, 0.0, 1.0, 1.0), (5.0, 0.0, 0.0, 0.0), None), 3, 4)],
+        "slice_id long, params struct<affine: struct<angle: double, tx: double, ty: double, sx: double, sy: double>,"
+        "atlas: struct<ap: double, rot_frontal: double, rot_horizontal: double, rot_sagittal: double>,"
+        "tps: struct<points_src: array<array<double>>, points_dst: array<array<double>>>>, lowres_height int, lowres_width int")
+
+
+def test_registered_pixels_are_not_broadcast(spark):
+    places = T.registered_coordinates(slices(spark), (20, 32, 32), 6, 8)
+    assert "Broadcast" not in plan_of(places)
+    assert places.count() == 48
+    plane = spark.createDataFrame([(1, 0, 0, 7)], "slice_id long, y int, x int, value long")
+    values = T.registered_values(slices(spark), plane, (20, 32, 32), 6, 8)
+    assert "Broadcast" not in plan_of(values)
+    assert values.filter("value = 7").count() == 4
+
+
+def test_splines_of_several_lengths_are_solved_together(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.uniform(0, 9, (n, 2)).tolist(), rng.uniform(0, 9, (n, 2)).tolist()) for k, n in enumerate((4, 6, 4, 3))]
+    control = spark.createDataFrame(rows, "slice_id long, points_src array<array<double>>, points_dst array<array<double>>")
+    fitted = {r["slice_id"]: r for r in T.fit_splines(control).collect()}
+    for key, src, dst in rows:
+        w = T.spline_coefficients(np.array(src), np.array(dst))
+        assert [len(fitted[key]["knots"]), len(fitted[key]["flat"])] == [len(src), 6]
+        assert fitted[key]["flat"] == pytest.approx(w[len(src):].ravel(), abs=1e-6)
+
+
+def test_the_tps_query_broadcasts_no_points(spark, tmp_path):
+    from voxtally.plans.image_queries import tps
+
+    spark.range(3).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    found = tps(spark, str(tmp_path))
+    assert "Broadcast" not in plan_of(found)
+    assert found.count() == 27
