@@ -19,6 +19,7 @@ from voxtally.functions.special import t_pvalue
 from voxtally.operators import resample as RS
 from voxtally.operators.resample import Blocks
 from voxtally.operators.stats import Matrix, adjust_pvalues
+from voxtally.session import ensure_checkpoint_dir
 
 PAIR_SCHEMA = "i int, j int, n double, r double"
 PACKED = "resample int, pair int, v binary"
@@ -214,11 +215,16 @@ def network(
     return nodes(matrix.features, matrix.rows.sparkSession), out
 
 
-def region_pairs(results: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(a, b, n_animals): structure pairs and the number of animals that have both."""
-    present = results.filter(F.col("acronym").isin(*features)).groupBy("animal_id").agg(
+def region_pairs(results: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
+    """(a, b, n_animals): structure pairs and the number of animals that have both, of ``features`` or of all."""
+    if features is not None:
+        results = results.filter(F.col("acronym").isin(*features))
+    ensure_checkpoint_dir(results.sparkSession)
+    present = results.groupBy("animal_id").agg(
         F.collect_set("acronym").alias("_s")  # at most the number of structures
-    )
+    ).checkpoint()
+    if features is None:
+        features = sorted(r[0] for r in present.select(F.explode("_s")).distinct().collect())  # bounded by the atlas
     flags = F.array(*[F.array_contains("_s", f).cast("double") for f in features])
     names = F.array(*[F.lit(f) for f in features])
     a, b = np.triu_indices(len(features), k=1)
