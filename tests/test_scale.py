@@ -66,3 +66,40 @@ def test_the_tps_query_broadcasts_no_points(spark, tmp_path):
     found = tps(spark, str(tmp_path))
     assert "Broadcast" not in plan_of(found)
     assert found.count() == 27
+
+
+def test_planes_are_spread_before_their_pixels(spark):
+    planes = spark.createDataFrame([(k, *[0.0] * 6) for k in range(8)], "plane long, ap double, si double, lr double, rot_frontal double, rot_horizontal double, rot_sagittal double")
+    spread = T.slice_coordinates(planes.coalesce(1), 2, 2)
+    assert spread.count() == 32
+    assert spread.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_the_results_are_gone_through_once(spark):
+    from voxtally.operators import stats
+
+    passes = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for pdf in frames:
+            passes.add(len(pdf))
+            yield pdf
+
+    rows = [(f"{c}{i}", c, a, False, True, i) for c in "pq" for i in range(3) for a in ("A", "B")]
+    schema = "animal_id string, condition string, acronym string, is_parent_structure boolean, is_gray_matter boolean, cells long"
+    results = spark.createDataFrame(rows, schema).mapInPandas(seen, schema)
+    matrix = stats.build_matrix(results, "cells", "condition", 2)
+    assert matrix.sizes == [3, 3] and matrix.rows.count() == 6
+    assert passes.value == len(rows)
+    stats.contrast(results, "condition", "cells", [("p", "q")])[1].collect()
+    assert passes.value == 2 * len(rows)
+
+
+def test_counts_by_slice_are_spread_before_counting(spark):
+    from voxtally.operators import regions
+
+    cells = spark.createDataFrame([(s, 1, 0.5) for s in (1, 1, 2)], "slice_id long, struct_id int, x double")
+    counts = regions.cell_counts(cells, ["slice_id"])
+    assert plan_of(counts).count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning(slice_id" in plan_of(counts)
+    assert sorted((r["slice_id"], r["cells"]) for r in counts.collect()) == [(1, 2), (2, 1)]
