@@ -103,3 +103,14 @@ def test_counts_by_slice_are_spread_before_counting(spark):
     assert plan_of(counts).count("Exchange hashpartitioning") == 1
     assert "Exchange hashpartitioning(slice_id" in plan_of(counts)
     assert sorted((r["slice_id"], r["cells"]) for r in counts.collect()) == [(1, 2), (2, 1)]
+
+
+def test_tails_of_many_degrees_of_freedom():
+    from math import erfc
+
+    from voxtally.functions.special import t_tail2
+
+    t = np.linspace(0.001, 4, 300)
+    normal = [erfc(v / 2**0.5) for v in t]
+    for df in (1e5, 3.6e5, 2e6):
+        assert t_tail2(t, np.full(300, df)) == pytest.approx(normal, abs=1e-5)

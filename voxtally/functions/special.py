@@ -20,7 +20,7 @@ def _beta_fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     guard = lambda v: np.where(np.abs(v) < tiny, tiny, v)
     c = np.ones_like(x)
     d = 1.0 / guard(1.0 - (a + b) * x / (a + 1.0))
-    out = d.copy()
+    out, live = d.copy(), np.ones(x.shape, dtype=bool)
     for m in range(1, 100_000):
         for step in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
@@ -28,8 +28,10 @@ def _beta_fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ):
             d = 1.0 / guard(1.0 + step * d)
             c = guard(1.0 + step / c)
-            out = out * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
+            out = np.where(live, out * d * c, out)
+        # each number is done on its own; rounding keeps some off 1 by more than a few units for ever
+        live &= np.abs(d * c - 1.0) >= 1e-14
+        if not live.any():
             return out
     raise ArithmeticError("the continued fraction of the incomplete beta integral did not converge")
 
