@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,31 @@ def test_tails_of_many_degrees_of_freedom():
     normal = [erfc(v / 2**0.5) for v in t]
     for df in (1e5, 3.6e5, 2e6):
         assert t_tail2(t, np.full(300, df)) == pytest.approx(normal, abs=1e-5)
+
+
+def test_masks_are_shuffled_as_tiles(spark):
+    from voxtally.operators import cells
+
+    true = [(s, y, x) for s in (1, 2) for y in range(-9, 20, s) for x in range(-3, 70, 3 - s)]
+    mask = spark.createDataFrame([*true, *true[::2], (1, None, 3), (None, 1, 1)], "slice_id long, y int, x int")
+    sizes = spark.createDataFrame([(1, 20, 60), (2, 20, 60)], "slice_id long, height int, width int")
+    points = [(s, y + 0.5, x + 0.5) for s in (1, 2) for y in range(-12, 24) for x in range(-6, 64, 3)]
+    placed = spark.createDataFrame([*points, *points[:5], (1, None, 3.0)], "slice_id long, y double, x double")
+    found = cells.points_on_mask(placed, mask, sizes, ignore_outliers=True)
+    assert not re.search(r"hashpartitioning\(slice_id#\d+L?, _y#", plan_of(found))  # no pixels
+    assert cells.mask_tiles(mask.filter("slice_id = 1 AND y IS NOT NULL")).count() == 5 * 10
+    lit = {p for p in true if 0 <= p[1] < 20 and 0 <= p[2] < 60}
+    for r in found.collect():
+        assert r["on_mask"] == (r["y"] is not None and (r["slice_id"], int(r["y"] // 1), int(r["x"] // 1)) in lit)
+    assert found.count() == len(points) + 6
+
+
+def test_annotated_squares_are_spread_before_their_pixels(spark, tmp_path):
+    from voxtally.plans.image_queries import filter_on_annotation
+
+    spark.sql("SELECT 1L AS o_orderkey, 1L AS o_custkey, 9.0D AS o_totalprice, '5-LOW' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.sql("SELECT 1L AS l_orderkey, CAST(id AS INT) AS l_linenumber, id * 7 AS l_partkey, id * 5 AS l_suppkey FROM range(40)")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = filter_on_annotation(spark, str(tmp_path))
+    below = plan_of(found).split("Generate explode")
+    assert len(below) == 3 and "Exchange hashpartitioning(slice_id" in below[2].split("FileScan")[0]
