@@ -51,7 +51,13 @@ def block_products(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     x, y = np.where(has_x, x, 0.0), np.where(has_y, y, 0.0)
     left = [has_x.astype(float), x, has_x.astype(float), x * x, has_x.astype(float), x]
     right = [has_y.astype(float), has_y.astype(float), y, has_y.astype(float), y * y, y]
-    return np.stack([np.stack([(a * row[:, None]).T @ b for a, b in zip(left, right)]) for row in w])
+    out = np.empty((len(w), 6, x.shape[1], y.shape[1]))
+    step = max(1, RS.PAIR_BUDGET // max(1, y.size))  # structures of x whose products are held at once
+    for k, (a, b) in enumerate(zip(left, right)):
+        for i in range(0, x.shape[1], step):
+            each = (a[:, i:i + step, None] * b[:, None, :]).reshape(len(x), -1)
+            out[:, k, i:i + step] = (w @ each).reshape(len(w), -1, y.shape[1])
+    return out
 
 
 def block_correlations(products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
