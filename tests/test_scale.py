@@ -144,3 +144,46 @@ def test_annotated_squares_are_spread_before_their_pixels(spark, tmp_path):
     found = filter_on_annotation(spark, str(tmp_path))
     below = plan_of(found).split("Generate explode")
     assert len(below) == 3 and "Exchange hashpartitioning(slice_id" in below[2].split("FileScan")[0]
+
+
+def test_new_groups_come_from_the_leading_words_and_ties_from_whole_draws():
+    from voxtally.functions import draws as D
+    from voxtally.operators import resample as RS
+
+    sid, ids = np.arange(5, 3000), np.arange(60)
+    drawn = D.draw62(3, ids[:, None], sid[None, :])
+    assert (D.high_word(3, ids[:, None], sid[None, :]) == drawn >> 30).all()
+    limits = np.sort(drawn, axis=1)[:, [0, 700, 701, 2994]]  # draws themselves, so that leading words tie
+    limits[7, 3] = np.iinfo(np.int64).max
+    for cuts in (limits, limits - 1):
+        assert (RS.permuted_cells(3, ids, sid, cuts) == (drawn[:, :, None] > cuts[:, None, :]).sum(axis=2)).all()
+
+
+def rows_out_of_python(df):
+    """Rows that the Python tasks of a collected plan returned."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        todo += [node.finalPhysicalPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+        if name in ("MapInPandas", "MapInArrow"):
+            found.append(node.metrics().apply("pythonNumRowsReceived").value())
+    return found
+
+
+def test_draws_of_a_task_are_counted_together(spark):
+    from voxtally.operators import resample as RS
+
+    rows = spark.range(400).select(F.col("id").alias("animal_id"), F.lit(0).alias("group"), F.array(F.lit(1.0)).alias("x"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        blocks = RS.make_blocks(rows.coalesce(1), [400], block_size=100)
+        blocks.rows = blocks.rows.coalesce(1)
+        slots = RS.bootstrap_slots(blocks, 5, 1)
+        assert sorted({r["_block"] for r in slots.collect()}) == [0, 1, 2, 3]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows_out_of_python(slots) == [5 * 4]
+    assert {r["n"] for r in slots.groupBy("resample").agg(F.sum("slots").alias("n")).collect()} == {400}
+    assert "MapInArrow" in plan_of(RS.permutation_plan(blocks, 3, 1))
