@@ -187,3 +187,21 @@ def test_draws_of_a_task_are_counted_together(spark):
     assert rows_out_of_python(slots) == [5 * 4]
     assert {r["n"] for r in slots.groupBy("resample").agg(F.sum("slots").alias("n")).collect()} == {400}
     assert "MapInArrow" in plan_of(RS.permutation_plan(blocks, 3, 1))
+
+
+def test_larger_tables_are_counted_in_more_tasks(spark, monkeypatch):
+    from voxtally.operators import regions
+
+    cells = spark.range(200).select(F.col("id").alias("slice_id"), F.lit(2).alias("struct_id"), F.lit(0.5).alias("x"))
+    areas = spark.range(200).select(F.col("id").alias("slice_id"), F.lit(3).alias("struct_id"), F.lit(True).alias("on_tissue"))
+    slices = spark.range(400).select(F.col("id").alias("slice_id"), (F.col("id") % 2).alias("animal_id"))
+    subjects = spark.createDataFrame([(0, "p"), (1, "q")], "animal_id long, condition string")
+    tree = spark.createDataFrame([(1, None, "root", "r", [1]), (2, 1, "GM", "g", [1, 2]), (3, 1, "WM", "w", [1, 3])], "id int, parent_id int, acronym string, name string, path array<int>")
+    monkeypatch.setattr(regions, "ROWS_PER_TASK", 20)
+    assert regions.cell_counts(cells, ["slice_id"]).rdd.getNumPartitions() == 10
+    found = regions.summarise(cells, regions.region_areas(areas, 2.0, ["slice_id"]), slices, subjects, tree)
+    spread = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan_of(found))
+    assert spread == [("animal_id", "10"), *[("slice_id", "10")] * 3]
+    assert {r["total_area_um2"]: r["cells"] for r in found.filter("acronym <> 'root'").collect()} == {0: 100, 200: 0}
+    monkeypatch.setattr(regions, "ROWS_PER_TASK", 500_000)
+    assert regions.tasks_for(cells) == int(spark.conf.get("spark.sql.shuffle.partitions"))
