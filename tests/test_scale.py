@@ -205,3 +205,20 @@ def test_larger_tables_are_counted_in_more_tasks(spark, monkeypatch):
     assert {r["total_area_um2"]: r["cells"] for r in found.filter("acronym <> 'root'").collect()} == {0: 100, 200: 0}
     monkeypatch.setattr(regions, "ROWS_PER_TASK", 500_000)
     assert regions.tasks_for(cells) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_means_and_norms_go_to_the_rows(spark):
+    from voxtally.operators import pls, stats
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = spark.createDataFrame([(k, "p" if k else None, {"A": float(k), "B": None if k == 1 else 4.0}) for k in range(4)], "animal_id long, condition string, _v map<string, double>")
+        rows = stats.matrix_rows(wide, "condition", ["A", "B"])
+        assert "SortMergeJoin" not in plan_of(rows)
+        assert sorted((r["animal_id"], r["x"]) for r in rows.collect()) == [(0, [0.0, 4.0]), (1, [1.0, 4.0]), (2, [2.0, 4.0]), (3, [3.0, 4.0])]
+        long = spark.createDataFrame([(1, "a", 3.0), (2, "a", 4.0), (1, "b", 0.0)], "sample long, feature string, value double")
+        units = pls.normalize_columns(long, ["feature"])
+        assert "SortMergeJoin" not in plan_of(units)
+        assert sorted(r["value"] for r in units.collect()) == pytest.approx([0.0, 0.6, 0.8])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

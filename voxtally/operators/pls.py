@@ -181,9 +181,10 @@ def mean_center(long: DataFrame, mode: int, means: bool = True) -> DataFrame:
 
 
 def normalize_columns(long: DataFrame, column: Sequence[str], value: str = "value") -> DataFrame:
-    """Unit Euclidean norm per column; a zero column stays zero."""
+    """Unit Euclidean norm per column; a zero column stays zero.  The norms, a number per column, go to every
+    task, as a merge would bring all values of a column into one."""
     norms = long.groupBy(*column).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_n"))
-    return long.join(norms, list(column)).withColumn(
+    return long.join(F.broadcast(norms), list(column)).withColumn(
         value, F.coalesce(F.try_divide(F.col(value), F.col("_n")), number(0))
     ).drop("_n")
 
