@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,30 @@ def test_matching_of_exported_files(spark, names, expected):
     assert got["candidates"] == len(names)
 
 
+def test_images_are_found_wherever_a_name_holds_them(spark, monkeypatch):
+    images = ["noext", "a.czi", "b.h5", "c.ome.tif", "d", "e-1_x", "été.tif", "g (1).t-f", None, "a.czi", "4.h5"]
+    scenes = [None, 0, 3, 1, 2, 5, 1, 1, 1, 3, 3]
+    names = ["noext 3", "a.czi2 0.txt", "a.czi_0", "b.h53 x", "b.h53_3.txt", "pre c.ome.tiff1", "c.ome.tif-1", "d2", "xe-1_x5", "été.tif 1.txt", "g (1).t-f1", "d d 2", None, "4.h54.h5-3", "4.h53"]
+    files = spark.createDataFrame([(n,) for n in [*names, *names[:4]]], "name string")
+    wanted = slices(spark, *zip(images, scenes, strict=True)).withColumn("path", F.when(F.col("path.filename") != "/img/None", F.col("path")))
+    want = {}
+    for k, (image, scene) in enumerate(zip(images, scenes, strict=True)):
+        held = [n for n in names if image and n and image in n]
+        fit = [n for n in held if re.search(f"{re.escape(image)}.*(?<!\\d){scene}(?!\\d)", n)]
+        want[k] = (held[0] if len(held) == 1 else fit[0] if len(fit) == 1 else None, len(held))
+    for most in (20_000, 6, 2):  # names of every shape, and of lengths alone
+        monkeypatch.setattr(readers, "MAX_SHAPES", most)
+        got = {r["slice_id"]: (r["file"], r["candidates"]) for r in readers.match_detection_files(files, wanted, "qupath").collect()}
+        assert got == want
+
+
+def test_only_parts_that_images_are_shaped_like_are_shuffled(spark):
+    files = spark.createDataFrame([(f"copy of slice{k}.czi - scene {k % 3}.v1.txt",) for k in range(90, 110)], "name string")
+    images = spark.createDataFrame([(f"slice{k}.czi",) for k in range(80, 120)], "_image string")
+    held = readers.held_images(files.withColumnRenamed("name", "file"), images).collect()
+    assert [r["_image"] for r in held] == [f"slice{k}.czi" for k in range(90, 110)]
+
+
 def test_centroids_in_pixels_or_fractions(spark):
     rows = spark.createDataFrame([(0, 50.0, 0.5, True), (0, 0.5, 100.0, False), (1, 0.25, 0.75, True)], "slice_id long, `centroid-0` double, `centroid-1` double, `LABEL-a` boolean")
     got = readers.centroid_cells(rows, slices(spark, ("a.czi", 0), ("b.czi", 0))).collect()

@@ -5,8 +5,9 @@ any source go through the same code."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,12 +107,56 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
+SHAPE_ENDS = ((3, 4), (1, 2), (0, 0))  # characters at the start and end of an image's name that tasks know, by its length
+MAX_SHAPES = 20_000
+
+
+def image_shapes(images: DataFrame) -> tuple[int, set[tuple[int, str, str]]]:
+    """Lengths, first and last characters of all names of ``images(_image)``, and how many last ones; of
+    fewer characters where there are too many kinds, at last of the lengths alone."""
+    named = images.filter(F.col("_image").isNotNull())
+    for head, tail in SHAPE_ENDS:
+        kinds = named.select(F.length("_image"), F.left("_image", F.lit(head)), F.right("_image", F.lit(tail))).distinct()
+        found = (kinds.limit(MAX_SHAPES + 1) if head else kinds).collect()
+        if len(found) <= MAX_SHAPES:
+            break
+    return tail, {tuple(r) for r in found}
+
+
+def held_images(names: DataFrame, images: DataFrame) -> DataFrame:
+    """(file, _image, _end): every part of ``names(file)`` that may be one of ``images(_image)``, and where it ends.
+
+    Only parts of a shape that an image has are sent, so each image in a name is, and little else."""
+    tail, shapes = image_shapes(images)
+    lengths: dict[str, set[int]] = {}
+    for length, first, _ in shapes:
+        lengths.setdefault(first, set()).add(length)
+    widths = sorted({len(first) for first in lengths})
+    schema = pa.schema([("file", pa.string()), ("_image", pa.string()), ("_end", pa.int32())])
+
+    def parts(name: str) -> Iterator[tuple[str, int]]:
+        for at in range(len(name) + 1):
+            for width in widths:
+                first = name[at:at + width]
+                for length in lengths.get(first, ()):
+                    end = at + length
+                    if end <= len(name) and (length or not at) and (length, first, name[max(at, end - tail):end]) in shapes:
+                        yield name[at:end], end
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for few in (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500)):
+            rows = [(name, *part) for name in few.column(0).to_pylist() if name is not None for part in parts(name)]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row)) for row in rows], schema)
+
+    return names.mapInArrow(find, "file string, _image string, _end int")
+
+
 def match_detection_files(files: DataFrame, slices: DataFrame, mode: str) -> DataFrame:
     """(slice_id, file, candidates): the detection file of each slice, or NULL if none or several fit.
 
     ``files(name)``; ``slices(slice_id, path)``.  'centroid' wants ``stem_sceneN.csv`` and 'spots' wants
-    ``name Detections.txt``.  'qupath' wants the image name in the file name; if several files have it,
-    the one that also has the scene number, not touching other digits, behind it."""
+    ``name Detections.txt``.  'qupath' wants the image name, whatever it is made of, in the file name; if several
+    files have it, the one that also has the scene number, not touching other digits, behind it."""
     image = basename(F.col("path.filename"))
     wanted = slices.select("slice_id", image.alias("_image"), F.col("path.scene").alias("_scene"))
     names = files.select(F.col("name").alias("file")).distinct()
@@ -123,19 +168,15 @@ def match_detection_files(files: DataFrame, slices: DataFrame, mode: str) -> Dat
         return joined.select("slice_id", "file", F.col("file").isNotNull().cast("int").alias("candidates"))
     if mode != "qupath":
         raise ValueError(f"unknown detection files {mode!r}; use one of {sorted(IMPORTERS)}")
-    # an image's name ends in its extension; every part of a file name that does is looked up, at most its length
-    # times its dots
-    tails = names.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.length("file")), lambda i: F.substr("file", i))).alias("_tail"))
-    dots = F.size(F.split("_tail", r"\.")) - 1
-    heads = F.transform(F.sequence(F.lit(1), dots), lambda k: F.concat(
-        F.call_function("substring_index", F.col("_tail"), F.lit("."), k), F.lit("."), F.regexp_extract(F.get(F.split("_tail", r"\."), k), "^[A-Za-z0-9]+", 0)))
-    parts = tails.filter(dots > 0).select("file", "_tail", F.explode(heads).alias("_image"))
-    held = parts.select("file", "_image", F.substr("_tail", F.length("_image") + 1).alias("_rest"))
-    both = wanted.join(held.hint("merge"), "_image", "left")  # many parts of each name, which look as small as the names
-    scene = F.rlike("_rest", F.concat(F.lit(r"(?<!\d)"), F.coalesce(F.col("_scene").cast("string"), F.lit("None")), F.lit(r"(?!\d)")))
-    found = both.groupBy("slice_id").agg(
-        F.count_distinct("file").cast("int").alias("candidates"), F.max("file").alias("_only"),
-        F.count_distinct(F.when(scene, F.col("file"))).alias("_n"), F.max(F.when(scene, F.col("file"))).alias("_one"),
+    held = held_images(names, wanted).repartition("_image").distinct()
+    both = wanted.join(held.hint("merge"), "_image", "left")  # what a file's name holds looks as small as the names
+    behind = F.when(F.col("_end") > 0, F.substr("file", F.col("_end"))).otherwise(F.concat(F.lit(" "), "file"))  # from the image's last character
+    scene = F.coalesce(F.col("_scene").cast("string"), F.lit("None"))
+    scene = F.rlike(behind, F.concat(F.lit(r"(?d)^[\s\S].*(?<!\p{Nd})"), scene, F.lit(r"(?!\p{Nd})")))
+    pairs = both.select("slice_id", "file", scene.alias("_fits")).repartition("slice_id").groupBy("slice_id", "file").agg(F.max("_fits").alias("_fits"))
+    one = F.when(F.col("_fits"), F.col("file"))
+    found = pairs.groupBy("slice_id").agg(
+        F.count("file").cast("int").alias("candidates"), F.max("file").alias("_only"), F.count(one).alias("_n"), F.max(one).alias("_one"),
     )
     file = F.when(F.col("candidates") == 1, F.col("_only")).when((F.col("candidates") > 1) & (F.col("_n") == 1), F.col("_one"))
     return found.select("slice_id", file.alias("file"), "candidates")
