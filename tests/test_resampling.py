@@ -90,6 +90,24 @@ def test_repeated_and_unmixed_sequences_are_passed_over(spark):
     assert again.perm.nunique() == 9
 
 
+def test_bootstraps_of_few_subjects_are_left_out_and_repeats_come_last(spark):
+    rows = spark.createDataFrame([(i, i // 5, [float(i)]) for i in range(10)], "animal_id long, group int, x array<double>")
+    blocks = RS.make_blocks(rows, [5, 5], 8)
+    n, seen, order = 60, set(), []
+    for r in range(2 * (n + 10)):  # of n + 10 too few are fine
+        draws = [(g, tuple(np.sort(D.draw62(RS.stream(SEED, RS.IN_BLOCK_STREAM), np.array(r * 2 + g), np.arange(5)) % 5))) for g in range(2)]
+        order.append((any(len(set(d)) < 3 for _, d in draws), any(d in seen for d in draws), r, draws))
+        seen.update(draws)
+    assert sum(few for few, *_ in order[: n + 10]) > 10 and any(repeat for few, repeat, *_ in order if not few)
+    order = sorted(order)[:n]
+    assert not any(few for few, *_ in order)
+    got = RS.bootstrap_plan(blocks, n, SEED).toPandas()
+    for place, (*_, draws) in enumerate(order):
+        mine = got[got["resample"] == place].sort_values("sid")
+        assert np.repeat(mine.sid, mine.weight).tolist() == [g * 5 + v for g, d in draws for v in d]
+    assert got["resample"].nunique() == n
+
+
 @pytest.mark.parametrize("conditions", [1, 2])
 def test_mean_centred_permutation_pvalues(spark, conditions):
     x, _ = numbers(conditions=conditions)

@@ -362,7 +362,7 @@ def meancentered_pls(
         unit_u = unit_columns(u)
 
         def one_bootstrap(pdf: pd.DataFrame) -> pd.DataFrame:
-            r = cross(dense(pdf, groups, n_moments + 2))
+            r = cross(dense(pdf, groups, n_moments + RS.MARKS))
             ub, db, _ = decompose(r)
             turned, est = align(u, ub, db), r @ unit_u
             frames = []
@@ -564,7 +564,7 @@ def behavioral_pls(
         )
 
         def one_bootstrap(pdf: pd.DataFrame) -> pd.DataFrame:
-            ub, db, _ = decompose(cross(dense(pdf, n_g, width + 2)))
+            ub, db, _ = decompose(cross(dense(pdf, n_g, width + RS.MARKS)))
             m = align(u, ub, db)
             i, l = np.indices(m.shape)
             return pd.DataFrame({"feature": i.ravel(), "lv": l.ravel() + 1, "v": m.ravel()})
@@ -578,7 +578,7 @@ def behavioral_pls(
         )
 
         def one_loading(pdf: pd.DataFrame) -> pd.DataFrame:
-            m = loadings(dense(pdf, n_g, load_width + 2))
+            m = loadings(dense(pdf, n_g, load_width + RS.MARKS))
             i, l = np.indices(m.shape)
             return pd.DataFrame({"cell": i.ravel(), "lv": l.ravel() + 1, "v": m.ravel()})
 
@@ -953,7 +953,7 @@ def pls_regression(
         )
 
         def one_bootstrap(pdf: pd.DataFrame) -> pd.DataFrame:
-            m = dense(pdf, 1, width + 2)[0][:width]
+            m = dense(pdf, 1, width + RS.MARKS)[0][:width]
             b = fit_of(m)
             flip = np.sign(column_correlation(b.x_weights, w))
             flip[~(np.abs(flip) > 0)] = 1.0
