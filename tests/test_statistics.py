@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxtally.functions import draws
+from voxtally.functions import draws, special
 from voxtally.functions.columns import draw62, natural_key
 from voxtally.functions.special import beta_cdf, f_tail, t_tail2
 from voxtally.operators import ordering, resample, stats
@@ -69,6 +71,16 @@ def test_corrections_match_numpy(spark, method):
         assert got[-1]["p_corrected"] is None
 
 
+def test_the_sum_of_reciprocals_takes_the_same_work_for_any_family(spark):
+    sizes = [1, 2, 31, 32, 33, 34, 100, 12_345, 1_000_000]
+    found = spark.createDataFrame([(m,) for m in [*sizes, 10**12]], "m long").select("m", special.harmonic(F.col("m")).alias("h"))
+    got = dict(found.collect())
+    assert [got[m] for m in sizes] == pytest.approx([math.fsum(1 / i for i in range(1, m + 1)) for m in sizes], rel=1e-14)
+    assert got[10**12] == pytest.approx(math.log(10**12) + 0.5772156649015329 + 5e-13, rel=1e-14)
+    many = spark.range(200_000).select(((F.col("id") + 1) / F.lit(200_001.0)).alias("p"))
+    assert stats.adjust_pvalues(many, method="fdr_by").agg(F.min("p_corrected")).first()[0] == 1.0
+
+
 def test_tied_p_values_share_a_corrected_value(spark):
     df = spark.createDataFrame([(0.01,), (0.01,), (0.5,)], "p double")
     got = [r["p_corrected"] for r in stats.adjust_pvalues(df).orderBy("p").collect()]

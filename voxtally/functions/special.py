@@ -118,3 +118,18 @@ def normal_cdf(x: Column) -> Column:
     t = F.lit(1.0) / (F.lit(1.0) + z / F.lit(2.0))
     tail = t * F.exp(horner(ERFC, t) - z * z) / F.lit(2.0)
     return F.when(F.isnan(x), F.lit(None).cast("double")).when(x < 0, tail).otherwise(F.lit(1.0) - tail)
+
+
+HARMONIC_SUMMED = 32  # terms that are added one by one
+
+
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m of a whole m of at least 1, as an expression whose work does not grow with m.
+
+    Beyond a few terms by Euler's and Maclaurin's formula, whose error is below rounding there."""
+    n = F.lit(HARMONIC_SUMMED)
+    summed = F.aggregate(F.sequence(F.lit(1), F.least(m, n).cast("int")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / i)
+    x = m.cast("double")
+    r = F.lit(1.0) / (x * x)
+    series = horner((-1 / 252, 1 / 120, -1 / 12, 0.0), r)
+    return F.when(m <= n, summed).otherwise(F.ln(x) + F.lit(0.5772156649015329) + F.lit(0.5) / x + series)
