@@ -189,6 +189,39 @@ def test_split_halves_of_mean_centred_pls(spark):
     check_split(result["split"], observed, drawn, d > 1e-8 * d.max())
 
 
+def test_first_halves_are_those_of_the_smallest_draws(monkeypatch):
+    rng = np.random.default_rng(2)
+    sid, new, full = np.arange(50, 450), rng.integers(0, 4, 400), rng.normal(size=(400, 3))
+    new[new == 2] = 1
+    counts = np.bincount(new, minlength=4)
+    shares = np.stack([rng.integers(0, c + 1, 9) for c in counts], axis=1)
+    shares[0], shares[1] = 0, counts
+    want = np.zeros((10, 4, 3))
+    for g in range(4):
+        inside = np.flatnonzero(new == g)
+        want[0, g] = full[inside].sum(axis=0)
+        for s in range(9):
+            drawn = D.draw62(5, np.array(7 * 9 + s), sid[inside])
+            want[1 + s, g] = full[inside[np.argsort(drawn)[: shares[s, g]]]].sum(axis=0)
+    assert RS.half_moments(5, 7, sid, new, shares, full) == pytest.approx(want)
+    monkeypatch.setattr(D, "high_word", lambda *v: (D.draw62(*v) >> 57).astype(np.uint32))  # leading words that tie
+    assert RS.half_moments(5, 7, sid, new, shares, full) == pytest.approx(want)
+
+
+def test_blocks_of_a_bundle_are_summed_before_the_shuffle(spark, monkeypatch):
+    x, _ = numbers()
+    found = []
+    for most in (16, 2):
+        monkeypatch.setattr(RS, "HALF_BUNDLES", most)
+        result = L.meancentered_pls(matrix(spark, x, 5), 1, 1, n_perm=4, n_boot=0, n_split=10, seed=SEED, block_size=BLOCK)
+        found.append(result["split"].toPandas().sort_values("lv"))
+        blocks = RS.make_blocks(table(spark, x), SIZES, BLOCK)
+        sums = RS.half_sums(blocks, blocks.rows, 2, 10, SEED, lambda p, sid, g: np.full((len(p), len(sid)), g), lambda left: lambda p: np.ones((len(left), 1)), 5)
+        assert sorted(len(r["v"]) for r in sums.collect()) == [11 * 3 * 8] * 2
+    live = found[0].lv <= 2
+    assert np.allclose(found[0][live], found[1][live], equal_nan=True)
+
+
 def behaviour_cross(x, y, group):
     def corr(a, b):
         a, b = a - a.mean(axis=0), b - b.mean(axis=0)

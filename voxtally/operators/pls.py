@@ -429,19 +429,23 @@ def _split_half(
     n = 1 + (0 if ids is None else len(ids))
     permuted = None if ids is None else RS.assignment(blocks, seed, thresholds, n_cond)
 
-    def at(family: int, sid: np.ndarray, group: int) -> np.ndarray:
-        return np.full(len(sid), group) if not family else permuted(ids[[family - 1]], sid)[0][0]
+    def at(families: np.ndarray, sid: np.ndarray, group: int) -> np.ndarray:
+        out = np.full((len(families), len(sid)), group)
+        if families.any():
+            out[families > 0] = permuted(ids[families[families > 0] - 1], sid)[0]
+        return out
 
     def moments(left: pd.DataFrame) -> Callable[[int], np.ndarray]:
         sid, z = RS._stack(left)
+        own = RS.products(z, RS.NO_PAIRS)
 
         def numbers(family: int) -> np.ndarray:
-            order = permuted(ids[[family - 1]], sid)[1] if family else None
-            return RS.products(z if order is None else RS.in_order(z, order[0], n_cond), RS.NO_PAIRS)
+            order = permuted(ids[[family - 1]], sid)[1] if family and n_cond > 1 else None
+            return own if order is None else RS.products(RS.in_order(z, order[0], n_cond), RS.NO_PAIRS)
 
         return numbers
 
-    sums = RS.half_sums(blocks, blocks.rows.select("sid", "group", "block", "x"), n, n_split, seed, at, moments)
+    sums = RS.half_sums(blocks, blocks.rows.select("sid", "group", "block", "x"), n, n_split, seed, at, moments, u.shape[0] * n_cond)
     return _half_correlations(sums, cross, u, d, v, len(blocks.sizes), n_split, ci)
 
 
@@ -652,8 +656,8 @@ def _split_sums(blocks: Blocks, mask: Callable, n_split: int, pairs) -> DataFram
 def _behaviour_split_half(blocks, paired, cross, u, d, v, n_x, pairs, n_perm, n_split, seed, ci) -> DataFrame:
     """Split halves of the data and of each paired permutation, stratified by group."""
 
-    def at(family: int, sid: np.ndarray, group: int) -> np.ndarray:
-        return np.full(len(sid), group)
+    def at(families: np.ndarray, sid: np.ndarray, group: int) -> np.ndarray:
+        return np.full((len(families), len(sid)), group)
 
     def moments(left: pd.DataFrame) -> Callable[[int], np.ndarray]:
         z = np.array(left["x"].tolist(), dtype=float).reshape(len(left), -1)
@@ -661,7 +665,7 @@ def _behaviour_split_half(blocks, paired, cross, u, d, v, n_x, pairs, n_perm, n_
         return lambda family: RS.products(np.hstack([z[:, :n_x], py[:, family - 1]]) if family else z, pairs)
 
     rows = blocks.rows.withColumn("py", F.array().cast("array<double>")) if paired is None else paired
-    sums = RS.half_sums(blocks, rows.select("sid", "group", "block", "x", "py"), 1 + n_perm, n_split, seed, at, moments)
+    sums = RS.half_sums(blocks, rows.select("sid", "group", "block", "x", "py"), 1 + n_perm, n_split, seed, at, moments, n_x + len(v) // len(blocks.sizes) * (1 + n_perm))
     return _half_correlations(sums, cross, u, d, v, len(blocks.sizes), n_split, ci)
 
 
