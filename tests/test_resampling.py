@@ -302,6 +302,37 @@ def test_behavioural_pls(spark):
         assert np.allclose(mine.ll, low[i]) and np.allclose(mine.ul, high[i])
 
 
+@pytest.mark.parametrize("numbers_held", [1 << 22, 30])
+def test_paired_sums_are_those_of_the_paired_rows(spark, monkeypatch, numbers_held):
+    x, y = numbers()
+    monkeypatch.setattr(RS, "PLACE_NUMBERS", numbers_held)  # one range of draws, or several
+    blocks = RS.make_blocks(table(spark, np.hstack([x, y])), SIZES, BLOCK)
+    pairs = L.xcorr_indices(5, 2)
+    sums, of_y = RS.paired_sums(blocks, 12, SEED, 5, 2, pairs)
+    assert "Window" not in sums._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0]
+    got = sums.toPandas()
+    for k, to in enumerate(paired(12)):
+        moved = np.empty_like(y)
+        moved[to] = y
+        for g in range(3):
+            whole = RS.products(np.hstack([x, moved])[GROUP == g], (pairs[0][of_y], pairs[1][of_y])).sum(axis=0)
+            mine = got[(got["resample"] == k) & (got.cell == g)].sort_values("k")
+            assert mine.v.to_numpy() == pytest.approx(whole[1 + 5:])
+
+
+def test_paired_permutations_of_few_samples_repeat_last(spark):
+    rows = spark.createDataFrame([(i, 0, [float(i), float(i * i)]) for i in range(3)], "animal_id long, group int, x array<double>")
+    blocks = RS.make_blocks(rows, [3], 2)
+    with pytest.warns(UserWarning, match="only 6 of 9"):
+        sums, _ = RS.paired_sums(blocks, 9, 1, 1, 1, (np.array([0]), np.array([1])))
+    with pytest.warns(UserWarning, match="only 6 of 9"):
+        moved = RS.paired_ids(blocks, 9, 1).toPandas()
+    products = sums.filter("k = 1").toPandas().set_index("resample").v.sort_index()
+    for perm, own in moved.groupby("perm"):
+        assert products[perm] == (own.to * own.sid**2).sum()
+    assert sorted(set(products[:6])) == sorted({sum(t * s * s for s, t in enumerate(p)) for p in itertools.permutations(range(3))})
+
+
 def simpls_share(x, y, components):
     return L.simpls_from_moments(full_moments(x, y), x.shape[1], y.shape[1], components)
 

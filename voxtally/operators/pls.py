@@ -534,8 +534,8 @@ def behavioral_pls(
     row_labels = [(g, b) for g in groups for b in behaviours]
     pvalues = paired = None
     if n_perm > 0:
-        paired = RS.with_permuted(blocks, n_perm, seed, n_x).persist()
-        sums, of_y = RS.paired_sums(blocks, paired, n_perm, n_x, pairs)
+        paired = RS.with_permuted(blocks, n_perm, seed, n_x).persist() if n_split else None
+        sums, of_y = RS.paired_sums(blocks, n_perm, seed, n_x, n_y, pairs)
 
         def one_permutation(pdf: pd.DataFrame) -> pd.DataFrame:
             _, dp, vp = decompose(cross(RS.moments_with(observed, dense(pdf, n_g, n_y + len(of_y)), n_x, of_y)))
@@ -925,7 +925,7 @@ def pls_regression(
     w, explained = fit.x_weights, fit.pctvar[1]
     pvalues = None
     if n_perm > 0:
-        sums, of_y = RS.paired_sums(blocks, RS.with_permuted(blocks, n_perm, seed, n_x), n_perm, n_x, pairs)
+        sums, of_y = RS.paired_sums(blocks, n_perm, seed, n_x, n_y, pairs)
 
         def one_permutation(pdf: pd.DataFrame) -> pd.DataFrame:
             m = RS.moments_with(observed[None], dense(pdf, 1, n_y + len(of_y)), n_x, of_y)
@@ -950,7 +950,10 @@ def pls_regression(
         repeats = None
         if depth > 1:
             code = RS.stream(seed, RS.CONDITION_STREAM)
-            repeats = lambda r, z: condensed(z, D.draw62(code, np.array(r), np.arange(depth)) % depth)
+            repeats = RS.Prepare(
+                lambda r: tuple((D.draw62(code, np.array(r), np.arange(depth)) % depth).tolist()),
+                lambda which, z: condensed(z, np.array(which)),
+            )
         boot, kept, _ = RS.drawn_until(
             n_boot, lambda count: RS.bootstrap_sums(raw if depth > 1 else blocks, count, seed, pairs, repeats),
             lambda s: RS.accepted_bootstraps(s, [n], width, n_boot),
